@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.copies import entry_copies
+from lectern.llm.leaks import leaks
 from lectern.llm.nearest import nearest_in_time
 from lectern.llm.pages import page_stays
+from lectern.llm.tokens import encode_texts, split_texts
 from lectern.sources.tables import table
 
 
@@ -34,7 +36,41 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stays.where("n_frames >= 2").select("job_id", "first_ms", "last_ms", "n_frames")
 
 
-QUERIES = {"p3_found": p3_found, "p3_entries": p3_entries, "p5_found": p5_found, "p6_found": p6_found}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def _name_list(spark: SparkSession, sf_dir: str) -> list[str]:
+    # a table of fixed size; the bound is checked
+    rows = table(spark, sf_dir, "name_parts", "name_part").where("name_part is not null").distinct().limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("more than 100,000 name parts aren't broadcast")
+    return sorted(r[0] for r in rows)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "lang", "text")
+    return leaks(docs, items, _name_list(spark, sf_dir), reparameterised=False).select("item_id", "doc_id")
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verbatim and re-parameterised passages."""
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "lang", "text")
+    return leaks(docs, items, _name_list(spark, sf_dir))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a text has at least one byte for each token, so a shorter one can't exceed the limit
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").where(F.octet_length("text") > 1024)
+    return split_texts(docs, "doc_id", "text", with_text=False).where("piece_no = 1").select("doc_id")
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all documents, with their text."""
+    return split_texts(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {"p3_found": p3_found, "p3_entries": p3_entries, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_pieces": p10_pieces}
 
 SQL = {
     "p5_found": """
