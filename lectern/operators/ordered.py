@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import cut
+
 
 def blocked(df: DataFrame, keys: list[str], order: str, width: int, block: str = "__block") -> DataFrame:
     """Adds the block number and brings each (key, block) into one partition."""
@@ -38,16 +40,25 @@ def with_neighbor(df: DataFrame, keys: list[str], order: list[str], cols: list[s
     return seen.withColumn(name, F.coalesce(name, "__far")).drop("__far")
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, block: str = "__block") -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over the key's rows up to this one."""
+def running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, how: str = "sum", backward: bool = False, block: str = "__block") -> DataFrame:
+    """Adds ``name``: the sum, max or min of ``value`` over the key's rows up to
+    this one, or from this one on if ``backward``. ``df`` comes from :func:`blocked`."""
     parts = [*keys, block]
+    f = {"sum": F.sum, "max": F.max, "min": F.min}[how]
     df = df.withColumn("__value", value)
-    inner = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*parts).agg(F.sum("__value").alias("__sum"))
-    sums = sums.select(*parts, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    out = df.withColumn(name, F.sum("__value").over(inner)).join(sums, parts, "left")
-    return out.withColumn(name, F.col(name) + F.col("__base")).drop("__base", "__value")
+    flow = [F.desc(c) for c in order] if backward else order
+    inner = Window.partitionBy(*parts).orderBy(*flow).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(F.desc(block) if backward else F.col(block)).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*parts).agg(f("__value").alias("__part"))
+    sums = sums.select(*parts, f("__part").over(before).alias("__base"))
+    out = df.withColumn(name, f("__value").over(inner)).join(sums, parts, "left")
+    both = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}[how]
+    return out.withColumn(name, both(F.col(name), F.col("__base"))).drop("__base", "__value")
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, block: str = "__block") -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the key's rows up to this one."""
+    return running(df, keys, order, value, name, block=block)
 
 
 def collapse_runs(df: DataFrame, keys: list[str], order: list[str], width: int, cols: list[str], same: Column, first: list[str], last: list[str], live: Column | None = None) -> DataFrame:
@@ -79,6 +90,7 @@ def collapse_runs(df: DataFrame, keys: list[str], order: list[str], width: int,
     bounds = rows.where("__cut").join(counts.select(*parts, "__base"), parts).select(
         *parts, "__live", (F.col("__pos") + F.col("__base")).alias("__pos"), tail.alias("__before"), F.struct(*first).alias("__first")
     )
+    bounds = cut(bounds)  # few rows, dearly made, and read twice from here on
     # the end of a key counts as a boundary after its last row
     final = counts.groupBy(*keys).agg(F.max("__block").alias("__block"), F.sum("__n").alias("__n"), F.max_by("__tail", "__block").alias("__before"))
     ends = final.select(*parts, F.lit(False).alias("__live"), (F.col("__n") + 1).alias("__pos"), "__before")
