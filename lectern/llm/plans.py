@@ -11,7 +11,9 @@ from lectern.llm.copies import entry_copies
 from lectern.llm.leaks import leaks
 from lectern.llm.nearest import nearest_in_time
 from lectern.llm.pages import page_stays
+from lectern.llm.privacy import personal_information
 from lectern.llm.tokens import encode_texts, split_texts
+from lectern.llm.turns import clean_utterance, speaker_turns
 from lectern.sources.tables import table
 
 
@@ -36,16 +38,54 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stays.where("n_frames >= 2").select("job_id", "first_ms", "last_ms", "n_frames")
 
 
-def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    speech = table(spark, sf_dir, "speech_segments", "speech_id", "job_id", "start_ms", "end_ms", "text", "speaker_id")
+    return speaker_turns(speech).select("job_id", "speaker", "first_speech_id", "last_speech_id")
 
 
-def _name_list(spark: SparkSession, sf_dir: str) -> list[str]:
+def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with their place in time."""
+    return speaker_turns(table(spark, sf_dir, "speech_segments", "speech_id", "job_id", "start_ms", "end_ms", "text", "speaker_id"))
+
+
+def p2_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned text of each transcript segment."""
+    rows = table(spark, sf_dir, "transcript_segments", "seg_id", "text")
+    return rows.select("seg_id", clean_utterance(F.col("text")).alias("clean")).dropDuplicates(["seg_id"])
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = table(spark, sf_dir, "transcript_segments", "seg_id", "text")
+    entries = table(spark, sf_dir, "knowledge_entries", "id", "body")
+    return segments.select(F.lit("transcript_segments").alias("tab"), F.col("seg_id").cast("string").alias("rec_id"), "text").unionByName(
+        entries.select(F.lit("knowledge_entries").alias("tab"), F.col("id").alias("rec_id"), F.col("body").alias("text"))
+    )
+
+
+def _names(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, str]]:
     # a table of fixed size; the bound is checked
-    rows = table(spark, sf_dir, "name_parts", "name_part").where("name_part is not null").distinct().limit(100_001).collect()
+    rows = table(spark, sf_dir, "name_parts", "name_part", "part_kind", "lang").dropna().distinct().limit(100_001).collect()
     if len(rows) > 100_000:
         raise ValueError("more than 100,000 name parts aren't broadcast")
-    return sorted(r[0] for r in rows)
+    return sorted(tuple(r) for r in rows)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = personal_information(_texts(spark, sf_dir), _names(spark, sf_dir), with_text=False)
+    return rows.select("tab", "rec_id", F.explode("kinds").alias("kind")).distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts, with placeholders."""
+    return personal_information(_texts(spark, sf_dir), _names(spark, sf_dir)).select("tab", "rec_id", "clean").dropDuplicates(["tab", "rec_id"])
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def _name_list(spark: SparkSession, sf_dir: str) -> list[str]:
+    return sorted({part for part, _, _ in _names(spark, sf_dir)})
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +110,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_entries": p3_entries, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p2_utterances": p2_utterances, "p4_found": p4_found, "p4_redacted": p4_redacted, "p3_found": p3_found, "p3_entries": p3_entries, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_pieces": p10_pieces}
 
 SQL = {
     "p5_found": """
