@@ -12,6 +12,7 @@ from lectern.llm.leaks import leaks
 from lectern.llm.nearest import nearest_in_time
 from lectern.llm.pages import page_stays
 from lectern.llm.privacy import personal_information
+from lectern.llm.scans import board_lines, board_text
 from lectern.llm.tokens import encode_texts, split_texts
 from lectern.llm.turns import clean_utterance, speaker_turns
 from lectern.sources.tables import table
@@ -80,6 +81,15 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_information(_texts(spark, sf_dir), _names(spark, sf_dir)).select("tab", "rec_id", "clean").dropDuplicates(["tab", "rec_id"])
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board_lines(table(spark, sf_dir, "board_segments", "board_id", "job_id", "text_lines"))
+
+
+def p7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readable text of each board."""
+    return board_text(table(spark, sf_dir, "board_segments", "board_id", "job_id", "text_lines"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -110,7 +120,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p2_utterances": p2_utterances, "p4_found": p4_found, "p4_redacted": p4_redacted, "p3_found": p3_found, "p3_entries": p3_entries, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p2_utterances": p2_utterances, "p4_found": p4_found, "p4_redacted": p4_redacted, "p3_found": p3_found, "p3_entries": p3_entries, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_text": p7_text, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_pieces": p10_pieces}
 
 SQL = {
     "p5_found": """
