@@ -21,7 +21,7 @@ SOUND = r"\[(?!at\])[^\[\]0-9@]{1,40}\]|\((?!at\))[^()0-9@]{1,40}\)|【[^【】0
 FILLERS_ZH = r"嗯|呃|额|啊|哦|噢|唔|诶|欸|那+个|就是说|就是(?=就是)"
 FILLERS_EN = r"(?<![a-z0-9])(?:u+h+m*|u+m+|e+r+m*|h+m+|m+h*m+|a+h+|o+h+|you know|you(?=\s+you know)|i mean|i(?=\s+i mean))(?![a-z0-9])"
 #: A hesitation at the head of an utterance or after a mark, with the comma that follows it.
-HESITATION = rf"(?i)(^|[\s,，。.!！?？…])(?:(?:{FILLERS_ZH})|(?:{FILLERS_EN}))(?=$|[\s,，。.!！?？…])[\s,，…]*"
+HESITATION = rf"(?i)(^|[\s,，。.!！?？…])(?:(?:{FILLERS_ZH}|{FILLERS_EN})(?=$|[\s,，。.!！?？…])[\s,，…]*)+"
 
 
 def speaker_number(label: Column) -> Column:
