@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lectern.plans import problems, texts, timeline
+from lectern.plans import exports, problems, texts, timeline
 
 SF = os.environ.get("PARITY_SF_DIR", "/root/testdata/sf0.001")
-CORE = {name for module in (problems, texts, timeline) for name in module.SQL}
+CORE = {name for module in (problems, texts, timeline, exports) for name in module.SQL}
 
 
 @pytest.fixture(scope="module")
