@@ -17,6 +17,7 @@ KEEP = r"[^\p{L}\p{N}]+"
 PHONE = r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])"
 IDENTITY = r"(?<![0-9])[0-9]{17}[0-9Xx](?![0-9])"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+ACCOUNT = r"(?i)(微信(?:号|ID)?|wechat(?:\s*id)?)\s*[:：]?\s*[A-Za-z][-_A-Za-z0-9]{5,19}"
 STOP_GRAMS = ["如何", "应该", "分别", "方式", "时候", "怎么", "什么", "进行"]
 
 
@@ -48,8 +49,8 @@ def error_rate(ref: Column, hyp: Column) -> Column:
 
 
 def redact_patterns(text: Column) -> Column:
-    """Mainland phone, identity number and e-mail by pattern, in this order."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, PHONE, "[手机号已脱敏]"), IDENTITY, "[身份证号已脱敏]"), EMAIL, "[邮箱已脱敏]")
+    """Mainland phone, identity number, e-mail and chat account by pattern, in this order."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, PHONE, "[手机号已脱敏]"), IDENTITY, "[身份证号已脱敏]"), EMAIL, "[邮箱已脱敏]"), ACCOUNT, "[微信号已脱敏]")
 
 
 def full_width_marks(text: Column) -> Column:

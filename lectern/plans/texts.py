@@ -296,7 +296,7 @@ z as (select *, row_number() over (partition by query_id order by score desc, id
 } | {
     "pii_redact": """with k as (select distinct seg_id, text from transcript_segments where text is not null),
 p as (select seg_id, regexp_replace(regexp_replace(text, '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])', '\\1[手机号已脱敏]\\2', 'g'), '(^|[^0-9])[0-9]{17}[0-9Xx]($|[^0-9])', '\\1[身份证号已脱敏]\\2', 'g') as t from k)
-select seg_id, regexp_replace(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[邮箱已脱敏]', 'g') as clean from p""",
+select seg_id, regexp_replace(regexp_replace(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[邮箱已脱敏]', 'g'), '(?i)(微信(?:号|ID)?|wechat(?:\\s*id)?)\\s*[:：]?\\s*[A-Za-z][-_A-Za-z0-9]{5,19}', '[微信号已脱敏]', 'g') as clean from p""",
     "safe_names": "select course_id, trim(regexp_replace(title, '[^\\p{L}\\p{N}._-]+', '_', 'g'), '_') as name from courses",
     "query_ngrams": f"with k as (select distinct course_id, {_GRAMS.format('title')} as token from courses) select * from k where token not in {_STOP}",
     "first_lines": f"""with l as (select doc_id, unnest(str_split(text, chr(10))) as line, generate_subscripts(str_split(text, chr(10)), 1) - 1 as line_no from documents),
