@@ -7,6 +7,7 @@ import types
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.canon import NARROW, WIDE
 from lectern.llm.copies import entry_copies
 from lectern.llm.leaks import leaks
 from lectern.llm.nearest import nearest_in_time
@@ -14,7 +15,7 @@ from lectern.llm.pages import page_stays
 from lectern.llm.privacy import personal_information
 from lectern.llm.scans import board_lines, board_text
 from lectern.llm.tokens import encode_texts, split_texts
-from lectern.llm.turns import clean_utterance, speaker_turns
+from lectern.llm.turns import LABEL, SPEAKER_WORDS, TIME_MARK, clean_utterance, speaker_turns
 from lectern.sources.tables import table
 
 
@@ -122,7 +123,57 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p2_utterances": p2_utterances, "p4_found": p4_found, "p4_redacted": p4_redacted, "p3_found": p3_found, "p3_entries": p3_entries, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_text": p7_text, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_pieces": p10_pieces}
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _plain(c: str) -> str:
+    return f"lower(translate({c}, {_quoted(WIDE)}, {_quoted(NARROW)}))"
+
+
+def _bare(c: str) -> str:
+    return f"regexp_replace({_plain(c)}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+def _blank(c: str) -> str:
+    return f"not regexp_matches({c}, '[^\\s\\p{{Z}}\\x{{FEFF}}]')"
+
+
+# RE2 looks neither ahead nor back
+_MARK = TIME_MARK.replace("'", "''")
+_LABEL = LABEL.replace("-(?![0-9])", "-(?:[^0-9]|$)")
+_SOUND = "\\[[^\\[\\]0-9@]{1,40}\\]|\\([^()0-9@]{1,40}\\)|【[^【】0-9@]{1,40}】|<[^<>0-9@]{1,40}>|♪[^♪]{0,40}♪|\\*[^*\\n]{1,40}\\*"
+_FILL = "嗯|呃|额|啊|哦|噢|唔|诶|欸|那+个|就是说|\\b(?:u+h+m*|u+m+|e+r+m*|h+m+|m+h*m+|a+h+|o+h+|you know|i mean)\\b"
+
 SQL = {
+    "p2_found": f"""
+with k as (select distinct on (speech_id) speech_id, job_id, start_ms, {_plain("coalesce(text, '')")} as t, lower(trim(translate(speaker_id, {_quoted(WIDE)}, {_quoted(NARROW)}))) as s
+  from speech_segments where job_id is not null and start_ms is not null),
+r as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{_MARK}', ' ', 'g'), '^\\s*{_LABEL}', ' '), '{_SOUND}', ' ', 'g'), '{_FILL}', ' ', 'g') as rest,
+  nullif(regexp_extract(s, '^[\\[(<【]?\\s*{SPEAKER_WORDS}[\\s_\\-#.]*0*([0-9]+)\\s*[\\])>】]?\\s*:?$', 1), '') as n,
+  nullif(regexp_extract(t, '^\\s*(?:{_MARK})?\\s*{_LABEL}', 1), '') as h1, nullif(regexp_extract(t, '^\\s*(?:{_MARK})?\\s*{_LABEL}', 2), '') as h2 from k),
+l as (select *, coalesce('speaker_' || coalesce(n, h1, h2), 'unknown') as speaker from r where regexp_matches(rest, '[\\p{{L}}\\p{{N}}]')),
+f as (select *, case when lag(speaker) over w = speaker then 0 else 1 end as cut from l window w as (partition by job_id order by start_ms, speech_id)),
+g as (select *, sum(cut) over (partition by job_id order by start_ms, speech_id rows unbounded preceding) as grp from f)
+select job_id, min(speaker) as speaker, arg_min(speech_id, (start_ms, speech_id)) as first_speech_id, arg_max(speech_id, (start_ms, speech_id)) as last_speech_id from g group by job_id, grp
+""",
+    "p3_found": f"""
+with k as (select distinct id, {_bare("coalesce(title, '')")} as t,
+  array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(body, '\\r\\n|[\\n\\r\\x0B\\x0C\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {_bare("x")}), lambda x: x <> '')), chr(10)) as b
+  from knowledge_entries where body is not null and not ({_blank("body")})),
+g as (select id, min(id) over (partition by t, b) as first_id from k)
+select first_id, id as copy_id from g where id <> first_id
+""",
+    "p9_found": f"""
+with i as (select item_id, lang, regexp_extract_all({_plain("text")}, '[\\p{{L}}\\p{{N}}]+') as w from eval_items),
+d as (select doc_id, regexp_extract_all({_plain("text")}, '[\\p{{L}}\\p{{N}}]+') as w from documents where text is not null),
+ie as (select distinct item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as g from i where lang = 'en'),
+de as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as g from d),
+iz as (select distinct item_id, unnest(list_transform(range(1, length(array_to_string(w, '')) - 22), lambda k: substr(array_to_string(w, ''), k, 24))) as g from i where lang = 'zh'),
+zs as (select doc_id, array_to_string(w, '') as s from d),
+dz as (select distinct doc_id, substr(s, k, 24) as g from zs, lateral (select unnest(range(1, length(s) - 22)) as k))
+select distinct item_id, doc_id from ie join de using (g) union select distinct item_id, doc_id from iz join dz using (g)
+""",
     "p5_found": """
 with l as (select distinct seg_id, job_id, start_ms from transcript_segments),
 r as (select distinct turn_id, job_id, start_ms from speaker_turns),
