@@ -273,3 +273,19 @@ def test_leaks_like_brute_force(spark):
             g = grams(r.text, zh)
             want |= {(i, r.doc_id) for i, x in own if g & x}
     assert {tuple(r) for r in plans.p9_found(spark, SF).collect()} == want
+
+
+def test_misread_lines_held_out(spark):
+    """Corrections of half the boards are hidden from the fit; their mended lines are found, and lines left as they are aren't."""
+    from lectern.sources.tables import table
+
+    boards = table(spark, "/root/testdata/sf0.01", "board_segments", "board_id", "job_id", "text_lines").dropDuplicates(["board_id"])
+    hide = F.pmod(F.xxhash64("board_id"), F.lit(2)) == 0
+    bare = F.transform("text_lines", lambda x: F.struct(x["text"].alias("text"), F.lit(None).cast("string").alias("corrected_text"), x["confidence"].alias("confidence")))
+    half = boards.withColumn("text_lines", F.when(hide, bare).otherwise(F.col("text_lines")))
+    found = {(r.board_id, r.line_no) for r in scans.board_lines(half).where("kind = 'misread'").collect()}
+    lines = [(r.board_id, k, x) for r in boards.where(hide).collect() for k, x in enumerate(r.text_lines or []) if x.corrected_text is not None]
+    mended = {(b, k) for b, k, x in lines if x.corrected_text != x.text}
+    same = {(b, k) for b, k, x in lines if x.corrected_text == x.text}
+    assert mended and len(found & mended) >= 0.9 * len(mended)
+    assert len(found & same) <= 0.05 * len(same)
