@@ -26,3 +26,17 @@ def test_character_error_rate_of_all_texts(spark, tmp_path):
     put(spark, tmp_path, "transcript_segments", rows, "seg_id long, text string, raw_text string")
     got = {r.seg_id: r.cer for r in entry.queries()["character_error_rate"](spark, str(tmp_path)).collect()}
     assert got == {k: edits(raw, text) / len(raw) if raw else float(bool(text)) for k, text, raw in rows[:80]}
+
+
+def test_sync_plan_of_all_documents(spark, tmp_path):
+    rows = [(4, "a", "T", "C", 1), (2, "a", "T", "C", 2), (3, "b", "T", "C", 2), (1, "b", "T", "C", 4), (6, "a", "T", "D", 9), (7, "z", None, "C", 1), (9, "z", None, "C", 2), (10, None, "T", "C", 3)]
+    rnd = random.Random(2)
+    rows += [(k, rnd.choice("ab"), rnd.choice(["U", "V", None]), rnd.choice("CD"), rnd.randint(0, 20)) for k in range(100, 180)]
+    put(spark, tmp_path, "documents", rows, "doc_id long, text string, title string, course_id string, created_at long")
+    known, want = {}, {}
+    for k, text, title, course, _ in sorted((x for x in rows if x[1] is not None), key=lambda x: (x[4], x[0])):
+        old = known.get((title, course)) if title is not None else None
+        want[k] = "create" if old is None else "skip" if old == text else "update"
+        known[title, course] = text
+    assert [want[k] for k in (4, 2, 3, 1, 6, 7, 9)] == ["create", "skip", "update", "skip", "create", "create", "create"]
+    assert {r.doc_id: r.action for r in entry.queries()["sync_plan"](spark, str(tmp_path)).collect()} == want
