@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import content_chars
+from lectern.operators.joins import nearest_interval
 from lectern.operators.ordered import blocked, collapse_runs, running, running_sum, with_neighbor
+from lectern.session import cut
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], width: int, name: str = "pos") -> DataFrame:
@@ -54,6 +57,26 @@ def fill_unknown(runs: DataFrame, keys: list[str], width: int, gap_ms: int = 100
     return rows.withColumn("filled", filled).drop("left", "right", "__block")
 
 
+def fill_unknown_words(words: DataFrame, turns: DataFrame, run_ms: int = 800, chars: int = 4) -> DataFrame:
+    """Adds ``word_no`` and ``filled`` to words (seg_id, i, job_id, start_ms, end_ms, text, speaker): what a run of ``unknown`` inherits.
+
+    Only runs within a segment of at most ``run_ms`` and ``chars`` letters and
+    digits; from the word before, else the word after, else the nearest turn.
+    """
+    own = Window.partitionBy("seg_id").orderBy("start_ms", "end_ms", "i")  # the words of one segment
+    new = ~F.col("speaker").eqNullSafe(F.lag("speaker").over(own))
+    rows = words.withColumn("word_no", F.row_number().over(own).cast("long")).withColumn("run", F.sum(new.cast("long")).over(own))
+    by_no = F.struct("word_no")
+    runs = rows.groupBy("seg_id", "job_id", "run").agg(F.first("speaker").alias("who"), F.min_by("start_ms", by_no).alias("start_ms"), F.max_by("end_ms", by_no).alias("end_ms"), F.sum(content_chars(F.col("text"))).alias("n"))
+    beside = Window.partitionBy("seg_id").orderBy("run")
+    runs = runs.withColumn("from", F.coalesce(F.lag("who").over(beside), F.lead("who").over(beside)))
+    runs = cut(runs.where((F.col("who") == "unknown") & (F.col("end_ms") - F.col("start_ms") <= run_ms) & (F.col("n") <= chars)))
+    # a run without neighbours is all of its segment
+    near = nearest_interval(runs.where("from is null").select("seg_id", "job_id", "start_ms", "end_ms"), turns, "seg_id", "speaker_id")
+    runs = runs.join(near.select("seg_id", "speaker_id"), "seg_id", "left").select("seg_id", "run", F.coalesce("from", "speaker_id").alias("from"))
+    return rows.join(runs, ["seg_id", "run"], "left").withColumn("filled", F.coalesce("from", "speaker")).drop("run", "from")
+
+
 def reach_before(df: DataFrame, keys: list[str], order: list[str], end: str, width: int) -> DataFrame:
     """Adds ``reach``: the largest ``end`` of the key's rows before this one."""
     rows = running(blocked(df, keys, order[0], width), keys, order, F.col(end), "__reach", "max")

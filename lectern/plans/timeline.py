@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.operators import joins, positions
 from lectern.operators.ordered import collapse_runs
 from lectern.plans import relations as r
+from lectern.session import cut
 from lectern.sources.tables import table
 
 BLOCK = 900_000
@@ -56,10 +57,23 @@ def speaker_islands(s, d):
 
 def unknown_run_inherit(s, d):
     runs = _runs(s, d).select("job_id", "first_speaker", F.col("first_speech_id").alias("first_id"), F.col("first_start_ms").alias("first_start"), F.col("last_end_ms").alias("last_end"))
-    out = positions.fill_unknown(runs, ["job_id"], BLOCK, gap_ms=3000, edge_ms=3000)
+    out = positions.fill_unknown(runs, ["job_id"], BLOCK)
     return out.select("job_id", F.col("first_id").alias("first_speech_id"), F.col("first_speaker").alias("speaker"), "filled")
 
 
+def word_runs_inherit(s, d):
+    """Words of the segments that are split by speaker (clear_switches), with their speaker, and what short runs of unknown words inherit."""
+    from lectern.plans.exports import clear_switches
+
+    rows = table(s, d, "transcript_segments", "seg_id", "job_id", "start_ms", "end_ms", "words").dropDuplicates(["seg_id"]).where("size(words) > 0").join(clear_switches(s, d).select("seg_id"), "seg_id", "left_semi")
+    good = F.filter("words", lambda w: (w["start_ms"] >= 0) & (w["end_ms"] > w["start_ms"]) & (F.length(w["text"]) > 0))
+    clamp = F.transform(good, lambda w: F.struct(F.greatest(w["start_ms"], F.col("start_ms")).alias("start_ms"), F.least(w["end_ms"], F.col("end_ms")).alias("end_ms"), w["text"].alias("text")))
+    words = rows.select("seg_id", "job_id", F.explode(F.transform(clamp, lambda w, i: F.struct(w.alias("w"), i.alias("i")))).alias("x")).select("seg_id", "job_id", "x.w.*", "x.i").where("end_ms > start_ms")
+    words = cut(words.withColumn("word", F.struct("seg_id", "i")))
+    labelled = cut(words.join(joins.best_speaker(words, r.turns(s, d), "word").select("word", F.col("speaker_id").alias("speaker")), "word"))
+    return positions.fill_unknown_words(labelled, r.turns(s, d)).select("seg_id", "word_no", "start_ms", "end_ms", "speaker", "filled")
+
+
 def speaker_first_seen_rank(s, d):
     from pyspark.sql import Window
 
@@ -158,7 +172,7 @@ def usable_words(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        align_max_overlap, overlap_by_speaker, interval_join_bucketed, timeline_merge, orphan_boards, nearest_turn, board_for_point, speaker_islands, unknown_run_inherit, speaker_first_seen_rank,
+        align_max_overlap, overlap_by_speaker, interval_join_bucketed, timeline_merge, orphan_boards, nearest_turn, board_for_point, speaker_islands, unknown_run_inherit, word_runs_inherit, speaker_first_seen_rank,
         running_overlap_check, first_board_appearance, even_samples, context_window, text_stays, keyframe_pick, frame_index_lookup, latest_frame, region_median, coarse_grid, bisect_intervals,
         representative_points, speaker_stats, dominant_cluster, usable_words,
     )

@@ -40,3 +40,56 @@ def test_sync_plan_of_all_documents(spark, tmp_path):
         known[title, course] = text
     assert [want[k] for k in (4, 2, 3, 1, 6, 7, 9)] == ["create", "skip", "update", "skip", "create", "create", "create"]
     assert {r.doc_id: r.action for r in entry.queries()["sync_plan"](spark, str(tmp_path)).collect()} == want
+
+
+def test_unknown_runs_with_the_gaps_of_the_reference(spark, tmp_path):
+    at = {"a": [(0, 100, "s1"), (1100, 1200, None), (2200, 2300, "s1")], "b": [(0, 100, "s1"), (1101, 1200, None), (2200, 2300, "s1")], "c": [(0, 100, "s1"), (350, 400, None)], "d": [(0, 100, "s1"), (351, 400, None)], "e": [(0, 100, None), (350, 400, "s1")], "f": [(0, 100, None), (351, 400, "s1")]}
+    rows = [(k * 10 + i, job, a, b, who, "x", None, None, False) for k, (job, spans) in enumerate(at.items()) for i, (a, b, who) in enumerate(spans)]
+    put(spark, tmp_path, "speech_segments", rows, "speech_id long, job_id string, start_ms long, end_ms long, speaker_id string, text string, confidence double, match_ratio double, inferred boolean")
+    got = {r.job_id: r.filled for r in entry.queries()["unknown_run_inherit"](spark, str(tmp_path)).collect() if r.speaker == "unknown"}
+    assert got == {"a": "speaker_1", "b": "unknown", "c": "speaker_1", "d": "unknown", "e": "speaker_1", "f": "unknown"}
+
+
+def test_word_runs(spark, tmp_path):
+    rnd = random.Random(3)
+    turns, segs = [], []
+    for k in range(40):
+        at = k * 5000
+        turns += [(2 * k, "j", at, at + rnd.randint(200, 1500), "A"), (2 * k + 1, "j", at + rnd.randint(1500, 2500), at + 3500, "B")]
+        cuts = sorted(rnd.sample(range(0, 4000, 50), 9))
+        words = [(at + a, at + b - rnd.choice([0, 0, 60]), rnd.choice(["嗯", "好的", "，", "hello", ""])) for a, b in zip(cuts, cuts[1:])]
+        segs.append((k, "j", at, at + 4000, "x", rnd.sample(words, len(words))))
+    segs.append((99, "j", 0, 4000, "x", None))
+    put(spark, tmp_path, "speaker_turns", [(*x, "wespeaker") for x in turns], "turn_id long, job_id string, start_ms long, end_ms long, speaker_id string, source string")
+    put(spark, tmp_path, "transcript_segments", segs, "seg_id long, job_id string, start_ms long, end_ms long, text string, words array<struct<start_ms long, end_ms long, text string>>")
+
+    def shares(a, b):
+        out = {}
+        for _, _, x, y, who in turns:
+            if min(b, y) > max(a, x):
+                out[who] = out.get(who, 0) + min(b, y) - max(a, x)
+        return out
+
+    want = {}
+    for seg, _, a, b, _, words in segs:
+        if not words or sum(v >= 0.15 * (b - a) for v in shares(a, b).values()) < 2:
+            continue
+        own, who = sorted(w for w in words if w[2] and w[1] > w[0]), []
+        for x, y, _ in own:
+            top = sorted(shares(x, y).items(), key=lambda p: -p[1])
+            who.append("unknown" if not top or len(top) > 1 and top[0][1] == top[1][1] or top[0][1] / (y - x) < 0.5 else top[0][0])
+        i, filled = 0, list(who)
+        while i < len(who):
+            j = i
+            while j < len(who) and who[j] == who[i]:
+                j += 1
+            n = sum(len(w[2].strip("，")) for w in own[i:j])
+            if who[i] == "unknown" and own[j - 1][1] - own[i][0] <= 800 and n <= 4:
+                left, right = (who[i - 1] if i else None), (who[j] if j < len(who) else None)
+                near = min((0 if min(own[j - 1][1], y) > max(own[i][0], x) else own[i][0] - y if y <= own[i][0] else x - own[j - 1][1], x, sp) for _, _, x, y, sp in turns)[2]
+                filled[i:j] = [left or right or near] * (j - i)
+            i = j
+        want |= {(seg, k): (w[0], w[1], who[k - 1], filled[k - 1]) for k, w in enumerate(own, 1)}
+    got = {(r.seg_id, r.word_no): (r.start_ms, r.end_ms, r.speaker, r.filled) for r in entry.queries()["word_runs_inherit"](spark, str(tmp_path)).collect()}
+    assert got == want
+    assert any(x[2] != x[3] for x in want.values()) and any(x[3] == "unknown" for x in want.values())
