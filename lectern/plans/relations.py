@@ -22,7 +22,7 @@ def boards(spark: SparkSession, d: str) -> DataFrame:
 
 def speech(spark: SparkSession, d: str) -> DataFrame:
     n = F.regexp_extract("speaker_id", "([0-9]+)", 1)
-    rows = table(spark, d, "speech_segments", "speech_id", "job_id", "start_ms", "end_ms", "speaker_id", "text", "confidence", "match_ratio").dropDuplicates(["speech_id"])
+    rows = table(spark, d, "speech_segments", "speech_id", "job_id", "start_ms", "end_ms", "speaker_id", "text", "confidence", "match_ratio", "inferred").dropDuplicates(["speech_id"])
     return rows.withColumn("speaker", F.when(F.coalesce(n, F.lit("")) == "", "unknown").otherwise(F.concat(F.lit("speaker_"), n.cast("int"))))
 
 

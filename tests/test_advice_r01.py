@@ -93,3 +93,13 @@ def test_word_runs(spark, tmp_path):
     got = {(r.seg_id, r.word_no): (r.start_ms, r.end_ms, r.speaker, r.filled) for r in entry.queries()["word_runs_inherit"](spark, str(tmp_path)).collect()}
     assert got == want
     assert any(x[2] != x[3] for x in want.values()) and any(x[3] == "unknown" for x in want.values())
+
+
+def test_confidence_of_inferred_and_shared_segments(spark, tmp_path):
+    rows = [(1, 0, "s1", 0.9, None, False), (2, 0, "s1", 0.9, None, True), (3, 0, "s1", None, 0.5, True), (4, 0, None, 0.9, 0.9, True), (5, 100, "s1", 0.8, None, False), (6, 100, "s1", 0.8, None, True), (7, 100, "x", 0.8, None, False), (8, 200, "s1", 0.8, None, False), (9, 300, "s1", 0.8, None, None), (10, 100, "s1", 1.9, None, False), (11, 100, "s1", None, None, False)]
+    put(spark, tmp_path, "speech_segments", [(k, "j", at, at + 100, who, "x", c, m, inf) for k, at, who, c, m, inf in rows], "speech_id long, job_id string, start_ms long, end_ms long, speaker_id string, text string, confidence double, match_ratio double, inferred boolean")
+    # 100..200: A and B hold 15 % and more; 200..300: B holds 14 %; 300..400: one speaker under two engines' labels
+    turns = [(1, 0, 100, "A", "wespeaker"), (2, 100, 185, "A", "wespeaker"), (3, 185, 200, "B", "wespeaker"), (4, 200, 286, "A", "wespeaker"), (5, 286, 300, "B", "wespeaker"), (6, 300, 400, "A", "wespeaker"), (7, 300, 400, "0", "campplus")]
+    put(spark, tmp_path, "speaker_turns", [(k, "j", a, b, who, src) for k, a, b, who, src in turns], "turn_id long, job_id string, start_ms long, end_ms long, speaker_id string, source string")
+    got = {r.speech_id: r.resolved and round(r.resolved, 9) for r in entry.queries()["resolved_confidence"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0.9, 2: 0.72, 3: 0.4, 4: 0.3, 5: 0.4, 6: 0.64, 7: 0.3, 8: 0.8, 9: 0.8, 10: 0.95, 11: None}
