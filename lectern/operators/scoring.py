@@ -30,12 +30,30 @@ def error_parts(reference: DataFrame, hypothesis: DataFrame, key: str = "job_id"
     return ref.join(side(hypothesis, "r").select(key, F.col("open_ms").alias("false_alarm_ms")), key, "left").fillna(0, ["false_alarm_ms"])
 
 
+def speaker_overlaps(reference: DataFrame, hypothesis: DataFrame, key: str = "job_id") -> DataFrame:
+    """(key, hyp, ref, ms): overlap of each pair of speakers."""
+    return overlap_pairs(reference, hypothesis, key).groupBy(key, F.col("r_speaker_id").alias("hyp"), F.col("l_speaker_id").alias("ref")).agg(F.sum("overlap_ms").alias("ms"))
+
+
+def diarization_error(reference: DataFrame, hypothesis: DataFrame, key: str = "job_id") -> DataFrame:
+    """(key, ref_ms, missed_ms, speaker_error_ms, false_alarm_ms, der): :func:`error_parts`, what is covered by a
+    speaker that isn't mapped to the reference's, and the sum of the three over ref_ms; without a reference der is 1."""
+    mapped = greedy_speaker_map(reference, hypothesis, key).withColumn("hit", F.lit(True))
+    wrong = speaker_overlaps(reference, hypothesis, key).join(mapped, [key, "hyp", "ref"], "left").groupBy(key).agg(F.sum(F.when(F.col("hit"), 0).otherwise(F.col("ms"))).alias("speaker_error_ms"))
+    alone = hypothesis.join(reference.select(key).distinct(), key, "left_anti").groupBy(key).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("false_alarm_ms"))
+    zero = F.lit(0).cast("long")
+    parts = error_parts(reference, hypothesis, key).unionByName(alone.select(key, zero.alias("ref_ms"), zero.alias("missed_ms"), "false_alarm_ms"))
+    parts = parts.join(wrong, key, "left").withColumn("speaker_error_ms", F.coalesce("speaker_error_ms", zero))
+    errors = (F.col("missed_ms") + F.col("speaker_error_ms") + F.col("false_alarm_ms")).cast("double")
+    return parts.select(key, "ref_ms", "missed_ms", "speaker_error_ms", "false_alarm_ms", F.coalesce(F.try_divide(errors, F.col("ref_ms").cast("double")), F.lit(1.0)).alias("der"))
+
+
 def greedy_speaker_map(reference: DataFrame, hypothesis: DataFrame, key: str = "job_id") -> DataFrame:
     """(key, hyp, ref): speakers matched one to one, the largest overlap first; ties: the larger labels first.
 
     Only the overlap of speakers, a few rows for each recording, is grouped in Python.
     """
-    sums = overlap_pairs(reference, hypothesis, key).groupBy(key, F.col("r_speaker_id").alias("hyp"), F.col("l_speaker_id").alias("ref")).agg(F.sum("overlap_ms").alias("ms"))
+    sums = speaker_overlaps(reference, hypothesis, key)
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
         h, r, out = set(), set(), []

@@ -180,10 +180,17 @@ def ngram_search(s, d):
 
 
 def der_components(s, d):
+    """The parts that need no mapping of speakers; all of them: diarization_error."""
     turns = r.turns(s, d)
     return scoring.error_parts(turns.where("source = 'wespeaker'"), turns.where("source = 'campplus'"))
 
 
+def diarization_error(s, d):
+    """Of campplus against wespeaker, for every job that either has."""
+    turns = r.turns(s, d)
+    return scoring.diarization_error(turns.where("source = 'wespeaker'"), turns.where("source = 'campplus'"))
+
+
 def iou_consecutive(s, d):
     """Overlap of each board's region with that of the board before."""
     rows = r.boards(s, d).where("region is not null")
@@ -196,7 +203,23 @@ def page_rates(s, d):
     return rows.withColumn("duplicate_rate", 1 - F.col("n_distinct").cast("double") / F.col("n").cast("double"))
 
 
+def engine_der_ranking(s, d):
+    """Engines of each job by their error against its aligned speech of known speakers; ties: the name, as no times are kept.
+
+    Engines of a job without such speech have an error of 1.
+    """
+    turns = r.turns(s, d)
+    sample = F.to_json(F.struct("job_id", "source")).alias("sample")
+    engines = turns.select("job_id", "source").distinct().select("job_id", "source", sample)
+    said = r.speech(s, d).where("speaker <> 'unknown' and end_ms > start_ms").select("job_id", "speech_id", "start_ms", "end_ms", F.col("speaker").alias("speaker_id"))
+    said = said.join(engines, "job_id").select("sample", F.struct("speech_id", "source").alias("turn_id"), "start_ms", "end_ms", "speaker_id")
+    der = scoring.diarization_error(said, turns.select(sample, "turn_id", "start_ms", "end_ms", "speaker_id"), "sample")
+    best = Window.partitionBy("job_id").orderBy("der", "source")
+    return engines.join(der, "sample").drop("sample").withColumn("rank", F.row_number().over(best).cast("long"))
+
+
 def engine_ranking(s, d):
+    """Engines of each job by their number of turns; by their error: engine_der_ranking."""
     per = table(s, d, "speaker_turns", "turn_id", "job_id", "source", "confidence").dropDuplicates(["turn_id"]).groupBy("job_id", "source").agg(F.count(F.lit(1)).alias("n"))
     return per.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("n"), "source")).cast("long"))
 
@@ -241,7 +264,7 @@ QUERIES = {
     for f in (
         text_keys, format_timestamps, character_error_rate, pii_counts, pii_redact, punctuation_rules, safe_names, query_ngrams, speaker_spellings, first_lines, transcript_blocks, transcript_metrics, srt_cues,
         duplicate_sources, content_hashes, evidence_missing, evidence_coverage, evidence_time_range, case_slice, case_coverage, payload_context, course_set_difference, type_histogram, case_size_flags, sync_plan,
-        document_frequency, bm25_search, ngram_search, der_components, iou_consecutive, page_rates, engine_ranking, hash_hamming, nfkc_normalize, sequence_ratio, evidence_hash, line_dedup_fuzzy, greedy_speaker_map, nms_boxes,
+        document_frequency, bm25_search, ngram_search, der_components, diarization_error, iou_consecutive, page_rates, engine_ranking, engine_der_ranking, hash_hamming, nfkc_normalize, sequence_ratio, evidence_hash, line_dedup_fuzzy, greedy_speaker_map, nms_boxes,
     )
 }
 

@@ -103,3 +103,43 @@ def test_confidence_of_inferred_and_shared_segments(spark, tmp_path):
     put(spark, tmp_path, "speaker_turns", [(k, "j", a, b, who, src) for k, a, b, who, src in turns], "turn_id long, job_id string, start_ms long, end_ms long, speaker_id string, source string")
     got = {r.speech_id: r.resolved and round(r.resolved, 9) for r in entry.queries()["resolved_confidence"](spark, str(tmp_path)).collect()}
     assert got == {1: 0.9, 2: 0.72, 3: 0.4, 4: 0.3, 5: 0.4, 6: 0.64, 7: 0.3, 8: 0.8, 9: 0.8, 10: 0.95, 11: None}
+
+
+def brute_error(ref, hyp):
+    """(ref, missed, speaker error, false alarm, der) of lists of (start, end, speaker)."""
+    over = lambda x, y: max(0, min(x[1], y[1]) - max(x[0], y[0]))
+    total = sum(b - a for a, b, _ in ref)
+    if not total:
+        return 0, 0, 0, sum(b - a for a, b, _ in hyp), 1.0
+    scores = {}
+    for h in hyp:
+        for x in ref:
+            scores[h[2], x[2]] = scores.get((h[2], x[2]), 0) + over(h, x)
+    mapped = {}
+    for (h, x), v in sorted(scores.items(), key=lambda p: (p[1], *p[0]), reverse=True):
+        if v and h not in mapped and x not in mapped.values():
+            mapped[h] = x
+    missed = sum(max(0, x[1] - x[0] - sum(over(x, h) for h in hyp)) for x in ref)
+    wrong = sum(over(x, h) for x in ref for h in hyp if mapped.get(h[2]) != x[2])
+    false = sum(max(0, h[1] - h[0] - sum(over(x, h) for x in ref)) for h in hyp)
+    return total, missed, wrong, false, (missed + wrong + false) / total
+
+
+def test_diarization_error_and_ranking(spark, tmp_path):
+    rnd = random.Random(4)
+    span = lambda: (a := rnd.randint(0, 90_000), a + rnd.randint(1, 9000))
+    turns = [(k, rnd.choice("abcde"), *span(), rnd.choice("xyz"), rnd.choice(["wespeaker", "campplus"])) for k in range(120)]
+    turns += [(200, "only_w", 0, 9, "x", "wespeaker"), (201, "only_c", 0, 9, "x", "campplus"), (202, "w", 0, 1000, "A", "wespeaker"), (203, "w", 1000, 1900, "B", "wespeaker"), (204, "w", 0, 1900, "x", "campplus")]
+    said = [(k, rnd.choice("abcd"), *span(), rnd.choice(["s1", "spk 2", None])) for k in range(60)]
+    put(spark, tmp_path, "speaker_turns", turns, "turn_id long, job_id string, start_ms long, end_ms long, speaker_id string, source string")
+    put(spark, tmp_path, "speech_segments", [(*x, "t", None, None, False) for x in said], "speech_id long, job_id string, start_ms long, end_ms long, speaker_id string, text string, confidence double, match_ratio double, inferred boolean")
+    of = lambda job, source: [x[2:5] for x in turns if x[1] == job and x[5] == source]
+    got = {r.job_id: (r.ref_ms, r.missed_ms, r.speaker_error_ms, r.false_alarm_ms, r.der) for r in entry.queries()["diarization_error"](spark, str(tmp_path)).collect()}
+    assert got == {j: brute_error(of(j, "wespeaker"), of(j, "campplus")) for j in {x[1] for x in turns}}
+    assert got["w"] == (1900, 0, 900, 0, 900 / 1900)
+    want = {}
+    for job in {x[1] for x in turns}:
+        ref = [(a, b, {"s1": "speaker_1", "spk 2": "speaker_2"}[w]) for _, j, a, b, w in said if j == job and w]
+        ranked = sorted((brute_error(ref, of(job, e))[4], e) for e in ("campplus", "wespeaker") if of(job, e))
+        want |= {(job, e): (k, der) for k, (der, e) in enumerate(ranked, 1)}
+    assert {(r.job_id, r.source): (r.rank, r.der) for r in entry.queries()["engine_der_ranking"](spark, str(tmp_path)).collect()} == want
