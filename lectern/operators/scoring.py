@@ -65,22 +65,28 @@ def greedy_speaker_map(reference: DataFrame, hypothesis: DataFrame, key: str = "
     return sums.groupBy(key).applyInPandas(match, f"{key} string, hyp string, ref string")
 
 
+def best_iou(references: DataFrame, hypotheses: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
+    """(key, id, n_met, best_iou, hit): each reference's best IoU over the regions of its key with another id; a key holds few.
+
+    Both sides have key, id and region. ``hit``: whether one of the k best reaches the threshold, which for any k the best decides.
+    """
+    other = hypotheses.select(F.col(key).alias("__key"), F.col("id").alias("__id"), F.col("region").alias("__region"))
+    pairs = references.join(other, (F.col(key) == F.col("__key")) & (F.col("id") != F.col("__id")), "left")
+    best = F.max(F.when(F.col("__id").isNotNull(), iou(F.col("region"), F.col("__region"))))
+    out = pairs.groupBy(key, "id").agg(F.count("__id").alias("n_met"), F.coalesce(best, F.lit(0.0)).alias("best_iou"))
+    return out.withColumn("hit", F.col("best_iou") >= threshold)
+
+
 def keep_boxes(boxes: DataFrame, group: str, threshold: float = 0.55, cap: int = 24) -> DataFrame:
     """(group, id): greedy suppression; the largest box first, boxes over the threshold with a kept one are left out."""
+    area = lambda b: b["width"] * b["height"]
+    held = boxes.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col("width") * F.col("height")).alias("order"), "id", "x", "y", "width", "height"))).alias("b"))
+
+    def share(b: Column, k: Column) -> Column:
+        w = F.greatest(F.lit(0), F.least(b["x"] + b["width"], k["x"] + k["width"]) - F.greatest(b["x"], k["x"]))
+        h = F.greatest(F.lit(0), F.least(b["y"] + b["height"], k["y"] + k["height"]) - F.greatest(b["y"], k["y"]))
+        return w * h / F.greatest(F.lit(1e-9), (area(b) + area(k) - w * h).cast("double"))
 
-    def keep(part: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        part = part.assign(area=part.width * part.height).sort_values(["area", "id"], ascending=[False, True])
-        for b in part.itertuples(index=False):
-            ok = True
-            for k in kept:
-                w = max(0, min(b.x + b.width, k.x + k.width) - max(b.x, k.x))
-                h = max(0, min(b.y + b.height, k.y + k.height) - max(b.y, k.y))
-                if w * h / max(1e-9, b.area + k.area - w * h) >= threshold:
-                    ok = False
-                    break
-            if ok and len(kept) < cap:
-                kept.append(b)
-        return pd.DataFrame([(getattr(b, group), b.id) for b in kept], columns=[group, "id"])
-
-    return boxes.groupBy(group).applyInPandas(keep, f"{group} string, id long")
+    add = lambda kept, b: F.when((F.size(kept) < cap) & ~F.exists(kept, lambda k: share(b, k) >= threshold), F.concat(kept, F.array(b))).otherwise(kept)
+    kept = F.aggregate("b", F.slice("b", 1, 0), add)
+    return held.select(group, F.explode(F.transform(kept, lambda k: k["id"])).alias("id"))

@@ -198,6 +198,24 @@ def iou_consecutive(s, d):
     return rows.where("prev is not null").select("board_id", scoring.iou(F.col("region"), F.col("prev.region")).alias("iou"))
 
 
+def _boxes(s, d):
+    """Boxes of the lines of an order, as the survey makes them, numbered as line numbers come twice. Boards of a job don't overlap in time, and their pages have one box."""
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")  # an order has a handful of lines
+    x, y, w, h = F.col("l_partkey") % 640, F.col("l_suppkey") % 360, 20 + F.col("l_linenumber") * 30, 20 + F.col("l_quantity").cast("int") * 4
+    rows = table(s, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return rows.select("l_orderkey", F.row_number().over(own).alias("id"), F.struct(*[c.cast("long").alias(n) for n, c in (("x", x), ("y", y), ("width", w), ("height", h))]).alias("region"))
+
+
+def box_best_iou(s, d):
+    """Each box's best overlap with the others of its order."""
+    return scoring.best_iou(_boxes(s, d), _boxes(s, d), "l_orderkey")
+
+
+def box_iou_scores(s, d):
+    """Mean of the best overlaps and rate of hits of each order."""
+    return box_best_iou(s, d).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.avg("best_iou").alias("mean_iou"), F.avg(F.col("hit").cast("double")).alias("top_k_hit_rate"))
+
+
 def page_rates(s, d):
     rows = r.boards(s, d).where("version_id is not null").groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("version_id").alias("n_distinct"))
     return rows.withColumn("duplicate_rate", 1 - F.col("n_distinct").cast("double") / F.col("n").cast("double"))
@@ -225,11 +243,13 @@ def engine_ranking(s, d):
 
 
 def hash_hamming(s, d):
-    """Sign bits of the first 32 dimensions, and their distance to the vector before of the same label."""
-    bits = F.aggregate(F.transform(F.slice("embedding", 1, 32), lambda x: F.when(x > 0, 1).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a * 2 + x)
-    rows = table(s, d, "embeddings", "vec_id", "label", "embedding").select("vec_id", "label", bits.alias("bits"))
+    """Sign bits of all dimensions, 32 to a long, and their distance to the vector before of the same label; the SQL has the first 32."""
+    long = lambda k: F.aggregate(F.transform(F.slice("embedding", k * 32 + 1, 32), lambda x: F.when(x > 0, 1).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a * 2 + x)
+    bits = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size("embedding"), F.lit(1)) - 1) / 32).cast("int")), long)
+    rows = table(s, d, "embeddings", "vec_id", "label", "embedding").where("embedding is not null").select("vec_id", "label", bits.alias("bits"))
     rows = with_neighbor(blocked(rows, ["label"], "vec_id", 65_536), ["label"], ["vec_id"], ["bits"], "prev")
-    return rows.where("prev is not null").select("vec_id", F.bit_count(F.col("bits").bitwiseXOR(F.col("prev.bits"))).cast("long").alias("hamming"))
+    apart = F.zip_with("bits", "prev.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("long"))
+    return rows.where("prev is not null").select("vec_id", F.aggregate(apart, F.lit(0).cast("long"), lambda a, x: a + x).alias("hamming"))
 
 
 def nfkc_normalize(s, d):
@@ -255,8 +275,7 @@ def greedy_speaker_map(s, d):
 
 
 def nms_boxes(s, d):
-    boxes = r.boards(s, d).where("region is not null and version_id is not null").select("job_id", "version_id", F.col("board_id").alias("id"), "region.x", "region.y", "region.width", "region.height")
-    return scoring.keep_boxes(boxes.withColumn("page", F.concat_ws("/", "job_id", "version_id")).drop("job_id", "version_id"), "page")
+    return scoring.keep_boxes(_boxes(s, d).select("l_orderkey", "id", "region.*"), "l_orderkey")
 
 
 QUERIES = {
@@ -264,7 +283,7 @@ QUERIES = {
     for f in (
         text_keys, format_timestamps, character_error_rate, pii_counts, pii_redact, punctuation_rules, safe_names, query_ngrams, speaker_spellings, first_lines, transcript_blocks, transcript_metrics, srt_cues,
         duplicate_sources, content_hashes, evidence_missing, evidence_coverage, evidence_time_range, case_slice, case_coverage, payload_context, course_set_difference, type_histogram, case_size_flags, sync_plan,
-        document_frequency, bm25_search, ngram_search, der_components, diarization_error, iou_consecutive, page_rates, engine_ranking, engine_der_ranking, hash_hamming, nfkc_normalize, sequence_ratio, evidence_hash, line_dedup_fuzzy, greedy_speaker_map, nms_boxes,
+        document_frequency, bm25_search, ngram_search, der_components, diarization_error, iou_consecutive, box_best_iou, box_iou_scores, page_rates, engine_ranking, engine_der_ranking, hash_hamming, nfkc_normalize, sequence_ratio, evidence_hash, line_dedup_fuzzy, greedy_speaker_map, nms_boxes,
     )
 }
 

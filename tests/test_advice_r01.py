@@ -143,3 +143,46 @@ def test_diarization_error_and_ranking(spark, tmp_path):
         ranked = sorted((brute_error(ref, of(job, e))[4], e) for e in ("campplus", "wespeaker") if of(job, e))
         want |= {(job, e): (k, der) for k, (der, e) in enumerate(ranked, 1)}
     assert {(r.job_id, r.source): (r.rank, r.der) for r in entry.queries()["engine_der_ranking"](spark, str(tmp_path)).collect()} == want
+
+
+def brute_iou(a, b):
+    w, h = (max(0, min(a[i] + a[i + 2], b[i] + b[i + 2]) - max(a[i], b[i])) for i in (0, 1))
+    union = a[2] * a[3] + b[2] * b[3] - w * h
+    return w * h / union if union else 0.0
+
+
+def boxes(spark, folder):
+    rnd = random.Random(7)
+    rows = [(order, k, rnd.randint(0, 40), rnd.randint(0, 40), float(rnd.randint(1, 50))) for order in range(30) for k in range(1, 8)] + [(98, 1, 5, 5, 5.0), (98, 1, 6, 6, 6.0), (99, 1, 5, 5, 5.0)]
+    put(spark, folder, "lineitem", rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double")
+    return rows, {(o, i): (p, q, 20 + 30 * k, 20 + 4 * int(n)) for order in {x[0] for x in rows} for i, (o, k, p, q, n) in enumerate(sorted(x for x in rows if x[0] == order), 1)}
+
+
+def test_best_iou(spark, tmp_path):
+    _, box = boxes(spark, tmp_path)
+    want = {}
+    for o, k in box:
+        near = [brute_iou(box[o, k], b) for (p, q), b in box.items() if p == o and q != k]
+        want[o, k] = (len(near), max(near, default=0.0), max(near, default=0.0) >= 0.5)
+    assert {(r.l_orderkey, r.id): (r.n_met, r.best_iou, r.hit) for r in entry.queries()["box_best_iou"](spark, str(tmp_path)).collect()} == want
+    for r in entry.queries()["box_iou_scores"](spark, str(tmp_path)).collect():
+        own = [v for (o, _), v in want.items() if o == r.l_orderkey]
+        assert r.n == len(own) and abs(r.mean_iou - sum(v[1] for v in own) / len(own)) < 1e-12 and abs(r.top_k_hit_rate - sum(v[2] for v in own) / len(own)) < 1e-12
+
+
+def test_hamming_of_all_dimensions(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = [(k, k % 2, [rnd.choice([-1.0, 0.0, 1.0]) for _ in range(64)]) for k in range(20)]
+    put(spark, tmp_path, "embeddings", rows, "vec_id long, label int, embedding array<float>")
+    want = {k: sum((x > 0) != (y > 0) for x, y in zip(v, rows[k - 2][2])) for k, _, v in rows[2:]}
+    assert {r.vec_id: r.hamming for r in entry.queries()["hash_hamming"](spark, str(tmp_path)).collect()} == want
+
+
+def test_nms_suppresses(spark, tmp_path):
+    rows, box = boxes(spark, tmp_path)
+    kept = []
+    for at in sorted(box, key=lambda o: (o[0], -box[o][2] * box[o][3], o[1])):
+        if all(brute_iou(box[at], box[k]) < 0.55 for k in kept if k[0] == at[0]):
+            kept.append(at)
+    assert {tuple(r) for r in entry.queries()["nms_boxes"](spark, str(tmp_path)).collect()} == set(kept)
+    assert len(kept) < len(rows)
