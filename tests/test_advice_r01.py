@@ -1,8 +1,12 @@
 """Places where a query did less than its whole job; small tables in the layout of the data."""
 
+import json
 import random
 
+import pytest
+
 import __spark_entry__ as entry
+from lectern.sources import payloads
 
 
 def put(spark, folder, name, rows, schema):
@@ -186,3 +190,25 @@ def test_nms_suppresses(spark, tmp_path):
             kept.append(at)
     assert {tuple(r) for r in entry.queries()["nms_boxes"](spark, str(tmp_path)).collect()} == set(kept)
     assert len(kept) < len(rows)
+
+
+def test_ocr_shapes(spark):
+    poly = lambda y: [[0, y], [10, y], [10, y + 10], [0, y + 10]]
+    page = lambda *t: {"rec_texts": list(t), "rec_scores": [0.9] * len(t), "rec_polys": [poly(50 * k) for k in range(len(t))]}
+    old = lambda *t: [[poly(50 * k), [x, 0.9]] for k, x in enumerate(t)]
+    late = {"rec_texts": ["B"], "rec_scores": [0.9], "rec_polys": [], "dt_polys": [poly(50)]}
+    shapes = [page("A", "B"), [page("A"), late], {"res": page("A", "B")}, {"res": [page("A"), late]}, [[page("A"), late]], old("A", "B"), [old("A", "B")], [None, old("A", "B")], [[poly(0), "A"], [poly(50), ["B", None]]]]
+    raw = spark.createDataFrame([(k, json.dumps(x)) for k, x in enumerate(shapes)] + [(90, None), (91, "[]"), (92, "{}"), (93, "[[]]")], "frame_id long, raw string")
+    got = {}
+    for r in payloads.ocr_lines(raw).orderBy("frame_id", "line_no").collect():
+        got.setdefault(r.frame_id, []).append((r.text, r.confidence))
+    assert got == {k: [("A", 0.9), ("B", 0.9)] for k in range(8)} | {8: [("A", None), ("B", None)]}
+    for bad in ('{"x": 1}', "text", "[1]", '[{"x": 1}]', '{"rec_texts": ["A"], "rec_polys": [[[0, 0]], [[0, 0]]]}'):
+        with pytest.raises(Exception, match="unknown OCR payload|differ in number"):
+            payloads.ocr_lines(spark.createDataFrame([(1, bad)], "frame_id long, raw string")).collect()
+
+
+def test_campplus_turns(spark):
+    raw = [{"text": "x", "sentence_info": [{"text": "a", "start": 500, "end": 900, "spk": 1}, {"text": "b", "start": 0, "end": 400, "speaker": "0"}, {"text": "c", "start": 950, "end": 990, "spk": -1}]}, {"text": "y"}]
+    df = spark.createDataFrame([("j", json.dumps(raw)), ("k", None)], "job_id string, raw string")
+    assert {tuple(r) for r in payloads.campplus_turns(df).collect()} == {("j", 500, 900, "speaker_1"), ("j", 0, 400, "speaker_0")}
