@@ -55,17 +55,26 @@ def test_copies(spark):
     assert copies.entry_copies(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("max_bits", [1 << 18, 1 << 27])
-def test_copies_in_bulk(spark, max_bits):
-    """A third in one group; a filter too small for the rest changes nothing."""
+@pytest.mark.parametrize("sizes", [{}, {"shard_bits": 1 << 12, "broadcast_bytes": 0}, {"shard_bits": 1 << 12, "broadcast_bytes": 0, "hot": 1000}])
+def test_copies_in_bulk(spark, sizes):
+    """A third in one group, filters broadcast or in shards."""
     df = spark.range(6000).select(F.format_string("%05d", "id").alias("id"), F.unhex(F.sha2(F.when(F.col("id") % 3 == 0, 0).otherwise((F.col("id") / 2).cast("long")).cast("string"), 256)).alias("key"))
-    got = {r.id: (r.first_id, r.n_copies) for r in copies.with_copies(df, max_bits).collect()}
+    got = {r.id: (r.first_id, r.n_copies) for r in copies.with_copies(df, **sizes).collect()}
     groups = {}
     for k in range(6000):
         groups.setdefault(0 if k % 3 == 0 else k // 2, []).append(f"{k:05d}")
     assert got == {i: (min(g), len(g)) for g in groups.values() for i in g}
 
 
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0}, {"shard_bits": 1 << 14, "broadcast_bytes": 0}])
+def test_few_singletons_pass_the_filters(spark, sizes):
+    """At one, 40 and 293 shards alike, under a twentieth of the singletons is shuffled, and no repeated row is missed."""
+    n = 300_000
+    df = spark.range(n).select("id", F.unhex(F.sha2(F.when(F.col("id") < 1000, F.col("id") % 500).otherwise(F.col("id")).cast("string"), 256)).alias("key"))
+    again = copies.mark_repeats(df, n, **sizes).where("again").select(F.count_if(F.col("id") < 1000), F.count_if(F.col("id") >= 1000)).first()
+    assert again[0] == 1000 and again[1] < 0.05 * n
+
+
 # --- 4 ---------------------------------------------------------------------
 NAMES = [("沈", "family", "zh"), ("知微", "given", "zh"), ("高", "family", "zh"), ("Grace", "given", "en"), ("Brondt", "family", "en"), ("Ostrander-Vey", "family", "en")]
 PII = [
