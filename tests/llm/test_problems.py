@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,13 +268,62 @@ def test_leaks(spark):
     assert leaks.leaks(d, i.where("false"), names).count() == 0
 
 
+def passages(text, zh):
+    fold = lambda t: unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
+    w = re.findall(r"[^\W_]+", fold(text))
+    return {s[k : k + 24] for s in ["".join(w)] for k in range(len(s) - 23)} if zh else {tuple(w[k : k + 12]) for k in range(len(w) - 11)}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"index_items": 0}])
+def test_runs_of_slots_and_forms_of_letters(spark, sizes):
+    """Runs of numbers longer than the item's, items of nothing but slots, decomposed letters alone and in company; brute force on random ones."""
+    rnd = random.Random(5)
+    word = lambda: rnd.choice(["7", "8", "19", "Anna", "Ben", "seconds", "the", "é", "cle\u0301", "STRASSE", "straße"])
+    han = lambda: rnd.choice("一二三9年城高港人我的１")
+    items = [(1, "en", "The code is " + " ".join(map(str, range(11, 23)))), (2, "en", "Le café fermé était déjà plein à Orléans où René mangeait encore"), (3, "en", " ".join(map(str, range(40, 60))))]
+    items += [(10 + k, "en", " ".join(word() for _ in range(30))) for k in range(10)] + [(30 + k, "zh", "".join(han() for _ in range(60))) for k in range(10)]
+    docs = [(1, "xx " + " ".join(map(str, range(7, 23)))), (2, unicodedata.normalize("NFD", "le café fermé était déjà plein à Orléans où René mangeait encore")), (3, "… ß"), (4, " ".join(map(str, range(48, 80))))]
+    for k in range(60):
+        i, lang, t = rnd.choice(items[3:])
+        w = t.split() if lang == "en" else list(t)
+        a = rnd.randint(0, len(w) - 14)
+        cut_ = w[a : a + rnd.randint(10, 30)]
+        docs.append((10 + k, (" " if lang == "en" else "").join([word() if lang == "en" else han() for _ in range(3)] + cut_ + [word() if lang == "en" else han() for _ in range(3)])))
+    d = spark.createDataFrame([*docs, docs[0]], "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, lang string, text string")
+    got = {tuple(r) for r in leaks.leaks(d, i, ["Anna", "Ben"], **sizes).collect()}
+    want = {(k, j) for j, lang, t in items for k, u in docs if passages(t, lang == "zh") & passages(u, lang == "zh")}
+    assert {g[:2] for g in got if g[2] == "verbatim"} == want and {(1, 1), (2, 2), (4, 3)} <= want
+    alone = d.where("doc_id = 2").coalesce(1)
+    assert {tuple(r) for r in leaks.leaks(alone, i, reparameterised=False, **sizes).collect()} == {(2, 2, "verbatim")}
+
+
+def test_many_items_like_few(spark):
+    items = [(1, "en", "At Marrowdene a leeward signalman inspects 6271 crates near the splintered sextant behind Fennick today.")]
+    docs = [(4, "At Quillhaven a leeward signalman inspects 9999 crates near the splintered sextant behind Ostrey today."), (5, "At Ostrey a leeward signalman inspects 9999 crates near the splintered sextant behind Ostrey today.")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, lang string, text string")
+    names = ["Marrowdene", "Quillhaven", "Fennick", "Ostrey"]
+    assert {tuple(r) for r in leaks.leaks(d, i, names).collect()} == {tuple(r) for r in leaks.leaks(d, i, names, index_items=0).collect()} == {(4, 1, "reparameterised")}
+
+
+def test_passages_over_the_border_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "CHUNK", 500)
+    monkeypatch.setattr(leaks, "OVERLAP", 64)
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    names = leaks.word_hashes(["none"])
+    index = (leaks.build_index([(1, "en", item)], names), names)
+    for gap in (" ", " " * 90, "\u0301" * 40 + " "):
+        for before in range(900, 1100, 7):
+            text = "ab " * (before // 3) + "x" * (before % 3) + " " + item.replace(" ", gap) + " cd" * 2000
+            out = [r for b in leaks._search(iter([pa.RecordBatch.from_arrays([pa.array([9]), pa.array([text])], ["doc_id", "text"])]), type("B", (), {"value": index}), False) for r in b.to_pylist()]
+            assert len(out) == (0 if "\u0301" in gap else 1)
+
+
 def test_leaks_like_brute_force(spark):
     from lectern.llm import plans
     from lectern.sources.tables import table
 
-    fold = lambda t: unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
-    words = lambda t: re.findall(r"[^\W_]+", fold(t))
-    grams = lambda t, zh: {s[k : k + 24] for s in ["".join(words(t))] for k in range(len(s) - 23)} if zh else {tuple(w[k : k + 12]) for w in [words(t)] for k in range(len(w) - 11)}
+    grams = passages
     items = table(spark, SF, "eval_items").collect()
     want = set()
     index = {zh: [(r.item_id, grams(r.text, zh)) for r in items if (r.lang == "zh") == zh] for zh in (False, True)}
