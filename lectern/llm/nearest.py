@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import fresh_dir, remove_dir, shared_dir
+from lectern.llm import replay
+from lectern.session import fresh_dir, remove_dir
 
-#: Rows of both sides that one replayed slice of media time may hold, about.
-SLICE_ROWS = 4_000_000
+#: Rows of both sides that one slice of media time may hold in each shuffle partition, about: what a task keeps as state.
+SLICE_ROWS = 250_000
+#: Cells of media time that are counted to find the slices, at most.
+CELLS = 1 << 18
 DAY_MS = 86_400_000
 
 
@@ -36,20 +41,40 @@ def nearest_stream(left: DataFrame, right: DataFrame, tolerance_ms: int, late_ms
     return pairs.groupBy("l_ts", "key", "left_id").agg(F.min(best).alias("best")).select("key", "left_id", F.col("best.right_id").alias("right_id"), F.col("best.apart").alias("apart_ms"))
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_ms: int = 400, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def slices(rows: DataFrame, low: int, high: int, slice_rows: int) -> DataFrame:
+    """Adds ``slice``: slices of media time of about ``slice_rows`` rows each, numbered from 0 in order.
+
+    Rows are counted in at most ``CELLS`` cells of equal length, whatever their
+    number; successive cells make a slice. The cells' table is what is broadcast.
+    """
+    width = max(1, -(-(high - low + 1) // CELLS))
+    rows = rows.withColumn("__cell", F.expr(f"(start_ms - {low}L) div {width}L"))
+    counts = sorted(tuple(r) for r in rows.groupBy("__cell").agg(F.count(F.lit(1))).collect())  # bounded: CELLS rows
+    at, before, table = 0, 0, []
+    for cell, n in counts:
+        if before and before + n > slice_rows:
+            at, before = at + 1, 0
+        before += n
+        table.append((cell, at))
+    cells = rows.sparkSession.createDataFrame(table, "__cell long, slice int")
+    return rows.join(F.broadcast(cells), "__cell").drop("__cell")
+
+
+def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_ms: int = 400, slice_rows: int | None = None) -> DataFrame:
     """Replays two tables through :func:`nearest_stream` in the order of media time.
 
     The tables are ordered by arrival, days late in part, so no watermark over
     arrival keeps all rows. They are therefore staged in slices of media time
-    (all keys from 0 on), and one slice after the other is put into the stream's
-    folder and taken by an available-now run with the same checkpoint: state
-    holds one slice and the tolerance, and no row is late. A last slice with an
-    end mark on both sides pushes the watermark past all horizons.
+    (all keys from 0 on; ``slice_rows`` rows, by default ``SLICE_ROWS`` for each
+    shuffle partition), and one running query takes one slice after the other:
+    state holds one slice and the tolerance, and no row is late. Two last
+    slices with an end mark on both sides push the watermark past all horizons.
 
     ``left``: key, left_id, start_ms; ``right``: key, right_id, start_ms. Rows
     that come twice with one id count once. Nulls in key, id or start_ms, and
     rows without a partner within the tolerance: no result row. Stage, state and
-    result lie in the shared folder; the result (key, left_id, right_id, apart_ms) is read from there.
+    result lie in the shared folder; the result (key, left_id, right_id,
+    apart_ms) is read from there, and goes when the application ends.
     """
     spark: SparkSession = left.sparkSession
     base = fresh_dir(spark, "nearest")
@@ -57,37 +82,27 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_ms: int = 400,
     clean = {side: df.select("key", F.col(i).alias("id"), F.col("start_ms").cast("long").alias("start_ms")).dropna() for side, (df, i) in sides.items()}
     rows = clean["left"].select(F.lit(0).alias("side"), "*").unionByName(clean["right"].select(F.lit(1).alias("side"), "*"))
     total, low, high = rows.agg(F.count(F.lit(1)), F.min("start_ms"), F.max("start_ms")).first()
-    if total:  # event time begins a day after the epoch, as what is not after the first watermark counts as late
-        rows = rows.withColumn("start_ms", F.col("start_ms") - low + DAY_MS)
-        low, high = DAY_MS, high - low + DAY_MS
     if not total:
         return spark.createDataFrame([], "key string, left_id long, right_id long, apart_ms long")
-    n = max(2, -(-total // slice_rows))
-    edges = rows.stat.approxQuantile("start_ms", [k / n for k in range(1, n)], 0.01 / n)
-    edges = sorted({int(e) for e in edges})
-    at = sum((F.when(F.col("start_ms") > e, 1).otherwise(0) for e in edges), F.lit(0)).cast("int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    staged = rows.withColumn("slice", at).repartition(parts, "slice", "id").dropDuplicates(["slice", "side", "id"])
-    staged.write.partitionBy("side", "slice").parquet(f"{base}/stage")
-    # the end marks lie two horizons past everything
-    last = len(edges) + 1
-    mark = high + 10 * tolerance_ms + 1
+    staged = slices(rows, low, high, slice_rows or SLICE_ROWS * parts)
+    # event time begins a day after the epoch, as what is not after the first watermark counts as late
+    staged = staged.withColumn("start_ms", F.col("start_ms") - low + DAY_MS)
+    staged.repartition(parts, "slice", "id").dropDuplicates(["slice", "side", "id"]).write.partitionBy("slice", "side").parquet(f"{base}/stage")
+    last = staged.agg(F.max("slice")).first()[0]
     schema = "key string, id long, start_ms long"
-    for side in (0, 1):
-        spark.createDataFrame([("", -1, mark)], schema).coalesce(1).write.parquet(f"{base}/stage/side={side}/slice={last}")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for side in (0, 1):
-        fs.mkdirs(hadoop(f"{base}/in{side}"))
-    streams = [spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/in{side}") for side in (0, 1)]
-    found = nearest_stream(streams[0].withColumnRenamed("id", "left_id"), streams[1].withColumnRenamed("id", "right_id"), tolerance_ms, 0)
-    for k in range(last + 1):
+    for k in (1, 2):  # the end marks lie two horizons past everything
         for side in (0, 1):
-            here = hadoop(f"{base}/stage/side={side}/slice={k}")
-            if fs.exists(here):
-                fs.rename(here, hadoop(f"{base}/in{side}/slice-{k}"))
-        query = found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
-    for folder in ("stage", "in0", "in1", "state"):
-        remove_dir(spark, f"{base}/{folder}")
+            spark.createDataFrame([("", -k, high - low + DAY_MS + 10 * k * tolerance_ms + k)], schema).coalesce(1).write.parquet(f"{base}/stage/slice={last + k}/side={side}")
+    streams = [spark.readStream.schema(schema).parquet(f"{base}/in/*/side={side}") for side in (0, 1)]
+    found = nearest_stream(streams[0].withColumnRenamed("id", "left_id"), streams[1].withColumnRenamed("id", "right_id"), tolerance_ms, 0)
+    replay.run(spark, found, base, last + 3)
+    atexit.register(_forget, spark, base)
     return spark.read.schema(found.schema).parquet(f"{base}/out")
+
+
+def _forget(spark: SparkSession, base: str) -> None:
+    try:
+        remove_dir(spark, base)
+    except Exception:  # noqa: BLE001 - the session can be gone by now, and its folder with it
+        pass

@@ -108,20 +108,27 @@ def test_redaction_keeps_the_rest(spark):
 
 
 # --- 5 ---------------------------------------------------------------------
-def test_nearest(spark):
+@pytest.mark.parametrize("slice_rows", [8, 40, None])
+def test_nearest(spark, slice_rows, monkeypatch):
+    from lectern.llm import replay
+
+    runs, run = [], replay.run
+    monkeypatch.setattr(replay, "run", lambda *args: (runs.append(args[3]), run(*args)))
     rnd = random.Random(4)
     left = [(rnd.choice("ab"), k, rnd.randint(0, 60) * 100) for k in range(120)]
     right = [(rnd.choice("ab"), k, rnd.randint(0, 60) * 100 + 50) for k in range(60)]
     extra = [("a", None, 5), (None, 900, 5), ("a", 901, None), left[0]]
     a = spark.createDataFrame(left + extra, "key string, left_id long, start_ms long")
     b = spark.createDataFrame(right + [right[0]], "key string, right_id long, start_ms long")
-    got = [(r.left_id, r.right_id) for r in nearest.nearest_in_time(a, b, 120, slice_rows=40).collect()]
+    got = [(r.left_id, r.right_id) for r in nearest.nearest_in_time(a, b, 120, slice_rows=slice_rows).collect()]
     want = []
     for key, i, t in left:
         near = [(abs(t - u), u, r) for k, r, u in right if k == key and abs(t - u) <= 120]
         if near:
             want.append((i, min(near)[2]))
     assert sorted(got) == sorted(want)
+    # one query, however many slices
+    assert len(runs) == 1 and (runs[0] > 15 if slice_rows == 8 else runs[0] >= 3)
     assert nearest.nearest_in_time(a.where("false"), b.where("false")).count() == 0
     assert nearest.nearest_in_time(a, b.where("false")).count() == 0
 
