@@ -19,7 +19,9 @@ from lectern.session import cut
 
 
 def blocked(df: DataFrame, keys: list[str], order: str, width: int, block: str = "__block") -> DataFrame:
-    """Adds the block number and brings each (key, block) into one partition."""
+    """Adds the block number and brings each (key, block) into one partition; what has a block already stays as it is."""
+    if block in df.columns:
+        return df
     df = df.where(F.expr(" and ".join(f"`{k}` is not null" for k in [*keys, order])))
     return df.withColumn(block, F.floor(F.col(order) / F.lit(width)).cast("long")).repartition(*keys, block)
 
@@ -72,31 +74,37 @@ def collapse_runs(df: DataFrame, keys: list[str], order: list[str], width: int,
     Only boundary rows are kept: those that begin a run, or that aren't live
     and follow one that is. The distance of their positions is a run's length,
     and what the next boundary row knows of its predecessor is the run's end.
+    One pass over a block's rows finds them, but for its first row, which is
+    kept until the block before is known; so is its last row, which tells the
+    next block. All else is done on what was kept.
     Result: keys, ``first_<c>`` for c in ``first``, ``last_<c>`` for c in
     ``last``, ``n``. Nulls in ``order[0]`` or a key: the row is left out.
     """
     live = F.lit(True) if live is None else F.coalesce(live, F.lit(False))
-    base = blocked(df.withColumn("__live", live), keys, order[0], width)
     carry = list(dict.fromkeys([*cols, *last, "__live"]))
-    rows = with_neighbor(base, keys, order, carry, "prev")
     goes_on = F.col("__live") & F.coalesce(F.col("prev.__live"), F.lit(False)) & F.coalesce(same, F.lit(False))
-    rows = rows.withColumn("__cut", ~goes_on & (F.col("__live") | F.coalesce(F.col("prev.__live"), F.lit(False))))
+    is_cut = ~goes_on & (F.col("__live") | F.coalesce(F.col("prev.__live"), F.lit(False)))
     parts = [*keys, "__block"]
-    rows = rows.withColumn("__pos", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)).cast("long"))
-    counts = base.groupBy(*parts).agg(F.count(F.lit(1)).alias("__n"), F.max_by(F.struct(*last), F.struct(*order)).alias("__tail"))
-    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    tail = F.struct(*[F.col(f"prev.{c}").alias(c) for c in last])
-    bounds = rows.where("__cut").join(counts.select(*parts, "__base"), parts).select(
-        *parts, "__live", (F.col("__pos") + F.col("__base")).alias("__pos"), tail.alias("__before"), F.struct(*first).alias("__first")
-    )
-    bounds = cut(bounds)  # few rows, dearly made, and read twice from here on
+    inner = Window.partitionBy(*parts).orderBy(*order)
+    rows = blocked(df, keys, order[0], width).withColumn("__live", live)
+    rows = rows.withColumn("prev", F.lag(F.struct(*carry)).over(inner)).withColumn("__pos", F.row_number().over(inner).cast("long"))
+    rows = rows.withColumn("__end", F.lead(F.lit(True)).over(inner).isNull()).withColumn("__cut", is_cut)
+    needed = list(dict.fromkeys([*parts, *order, *cols, *first, *last, "__live", "prev", "__pos", "__end", "__cut"]))
+    rows = cut(rows.where("__cut or __end or __pos = 1").select(*needed))
+    # one row for each block: its size, and the last row before it
+    each = Window.partitionBy(*keys).orderBy("__block")
+    blocks = rows.where("__end").select(*parts, F.col("__pos").alias("__n"), F.struct(*carry).alias("__tail"))
+    blocks = blocks.withColumn("__base", F.coalesce(F.sum("__n").over(each.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    blocks = blocks.withColumn("__far", F.lag("__tail").over(each)).withColumn("__last", F.lead("__block").over(each).isNull())
+    rows = rows.join(blocks, parts)
+    rows = rows.withColumn("prev", F.when(F.col("__pos") == 1, F.col("__far")).otherwise(F.col("prev"))).withColumn("__cut", F.when(F.col("__pos") == 1, is_cut).otherwise(F.col("__cut")))
+    at = F.col("__pos") + F.col("__base")
     # the end of a key counts as a boundary after its last row
-    final = counts.groupBy(*keys).agg(F.max("__block").alias("__block"), F.sum("__n").alias("__n"), F.max_by("__tail", "__block").alias("__before"))
-    ends = final.select(*parts, F.lit(False).alias("__live"), (F.col("__n") + 1).alias("__pos"), "__before")
-    both = bounds.unionByName(ends, allowMissingColumns=True).repartition(*parts)
-    both = with_neighbor(both, keys, ["__pos"], ["__pos", "__before"], "next", forward=True)
-    out = both.where("__live and next is not null")
-    return out.select(
-        *keys, *[F.col(f"__first.{c}").alias(f"first_{c}") for c in first], *[F.col(f"next.__before.{c}").alias(f"last_{c}") for c in last], (F.col("next.__pos") - F.col("__pos")).alias("n")
-    )
+    here = F.array_compact(F.array(
+        F.when(F.col("__cut"), F.struct(at.alias("pos"), F.col("__live").alias("live"), F.struct(*[F.col(f"prev.{c}").alias(c) for c in last]).alias("before"), F.struct(*first).alias("first"))),
+        F.when(F.col("__end") & F.col("__last"), F.struct((at + 1).alias("pos"), F.lit(False).alias("live"), F.struct(*last).alias("before"), F.lit(None).cast(rows.select(F.struct(*first).alias("x")).schema["x"].dataType).alias("first"))),
+    ))
+    bounds = rows.select(*parts, F.explode(here).alias("b"))
+    bounds = with_neighbor(bounds.select(*parts, "b.*"), keys, ["pos"], ["pos", "before"], "next", forward=True)
+    out = bounds.where("live and next is not null")
+    return out.select(*keys, *[F.col(f"first.{c}").alias(f"first_{c}") for c in first], *[F.col(f"next.before.{c}").alias(f"last_{c}") for c in last], (F.col("next.pos") - F.col("pos")).alias("n"))
