@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.canon import bare, blank
-from lectern.operators.ordered import collapse_runs
+from lectern.operators.ordered import blocked, collapse_runs
 
 
 def page_stays(frames: DataFrame, near: float = 0.15, width: int = 1_800_000) -> DataFrame:
@@ -25,8 +25,7 @@ def page_stays(frames: DataFrame, near: float = 0.15, width: int = 1_800_000) ->
     """
     rows = frames.select("job_id", F.col("timestamp_ms").cast("long").alias("ts"), F.when(~blank(F.col("ocr_text")), bare(F.col("ocr_text"))).alias("t"))
     # the block is in the grouping so that one exchange serves it and the windows
-    rows = rows.where("job_id is not null and ts is not null").withColumn("__cell", F.floor(F.col("ts") / width)).repartition("job_id", "__cell")
-    rows = rows.groupBy("job_id", "__cell", "ts").agg(F.min("t").alias("t")).drop("__cell")
+    rows = blocked(rows, ["job_id"], "ts", width).groupBy("job_id", "__block", "ts").agg(F.min("t").alias("t"))
     longer = F.greatest(F.length("t"), F.length("prev.t"))
     apart = F.abs(F.length("t") - F.length("prev.t"))
     same = (F.col("t") == F.col("prev.t")) | ((apart <= near * longer) & (F.levenshtein("t", "prev.t") <= near * longer))
