@@ -15,7 +15,7 @@ from lectern.llm.pages import page_stays
 from lectern.llm.privacy import personal_information
 from lectern.llm.scans import board_lines, board_text
 from lectern.llm.tokens import encode_texts, split_texts
-from lectern.llm.turns import LABEL, SPEAKER_WORDS, TIME_MARK, clean_utterance, speaker_turns
+from lectern.llm.turns import LABEL, SPEAKER_WORDS, TIME_MARK, clean_utterance, speaker_turns, turn_texts
 from lectern.sources.tables import table
 
 
@@ -50,6 +50,11 @@ def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speaker_turns(table(spark, sf_dir, "speech_segments", "speech_id", "job_id", "start_ms", "end_ms", "text", "speaker_id"))
 
 
+def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean text of each turn, in parts."""
+    return turn_texts(table(spark, sf_dir, "speech_segments", "speech_id", "job_id", "start_ms", "end_ms", "text", "speaker_id"))
+
+
 def p2_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned text of each transcript segment."""
     rows = table(spark, sf_dir, "transcript_segments", "seg_id", "text")
@@ -121,7 +126,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p2_utterances": p2_utterances, "p4_found": p4_found, "p4_redacted": p4_redacted, "p3_found": p3_found, "p3_entries": p3_entries, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_text": p7_text, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p2_texts": p2_texts, "p2_utterances": p2_utterances, "p4_found": p4_found, "p4_redacted": p4_redacted, "p3_found": p3_found, "p3_entries": p3_entries, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_text": p7_text, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_pieces": p10_pieces}
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"

@@ -94,7 +94,7 @@ def isotonic(df: DataFrame, keys: list[str], order: list[str], value: str, out:
     rows = rows.withColumn("__high", F.max(value).over(here.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__low", F.min(value).over(here.rowsBetween(0, Window.unboundedFollowing)))
     rows = rows.join(edges, parts, "left").withColumn("__high", F.greatest("__high", "__before")).withColumn("__low", F.least("__low", "__after")).drop("__before", "__after")
     rows = cut(rows)
-    fine = rows.where("__high = __low").drop("__high", "__low", "__block").withColumn(out, F.col(value).cast("double"))
+    fine = rows.where("__high = __low").drop("__high", "__low").withColumn(out, F.col(value).cast("double"))
     # between two stretches of disorder lies a row in order, so the number of such rows before names the stretch
     rough = running(rows, keys, order, (F.col("__high") == F.col("__low")).cast("long"), "__solid").where("__high <> __low")
 
@@ -108,39 +108,77 @@ def isotonic(df: DataFrame, keys: list[str], order: list[str], value: str, out:
 
 
 def unreset(df: DataFrame, keys: list[str], order: str, time: str, out: str, drop_ms: int = 60_000, width: int = 4096) -> DataFrame:
-    """Adds ``out``: ``time`` with clock resets undone. In the order of the file, a
-    fall by more than ``drop_ms`` begins a new segment, which goes on from the highest time before it."""
+    """Adds ``out``: what is lost to clock resets before the row, to be added to its times. In the order of
+    the file, a fall of ``time`` by more than ``drop_ms`` begins a new segment of the file, which goes on from the time before it."""
     rows = with_neighbor(blocked(df, keys, order, width), keys, [order], [time], "__prev")
     fall = F.col(f"__prev.{time}") - F.col(time)
     rows = rows.withColumn("__fall", F.when(fall > drop_ms, fall).otherwise(F.lit(0))).drop("__prev")
-    return running(rows, keys, [order], F.col("__fall"), "__lost").withColumn(out, F.col(time) + F.col("__lost")).drop("__lost", "__fall", "__block")
+    return running(rows, keys, [order], F.col("__fall"), out).drop("__fall")
 
 
-def speaker_turns(speech: DataFrame, width: int = 900_000, longest_ms: int = 600_000) -> DataFrame:
+def placed_segments(speech: DataFrame, per_block: int = 16_384, longest_ms: int = 600_000, text: bool = False) -> tuple[DataFrame, list[str]]:
+    """Segments that say something (job_id, speech_id, speaker, start_ms, start, end[, clean]), in blocks, and their order.
+
+    ``start`` and ``end`` are repaired in the order of the file, which is that
+    of speech_id in a job: clock resets are undone, an end before its start or
+    more than ``longest_ms`` after it is set to the start, and isotonic
+    regression over each makes the times nondecreasing. The order is then that
+    of ``start``; ties: start_ms, then speech_id. A file whose times never fall
+    is its own regression; then one pass has shown it, and the order is the file's.
+    """
+    plain = plain_text(F.col("text"))
+    rows = speech.select("speech_id", "job_id", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), plain.alias("plain"), speaker_number(F.col("speaker_id")).alias("n"), *([clean_utterance(F.col("text")).alias("clean")] if text else []))
+    rows = rows.where(F.col("job_id").isNotNull() & F.col("start_ms").isNotNull() & F.col("speech_id").isNotNull() & says_something(F.col("plain")))
+    n = F.coalesce("n", head_label(F.col("plain")))
+    wrong = F.col("end_ms").isNull() | (F.col("end_ms") < F.col("start_ms")) | (F.col("end_ms") > F.col("start_ms") + longest_ms)
+    rows = rows.withColumn("speaker", F.coalesce(F.concat(F.lit("speaker_"), n), F.lit("unknown"))).withColumn("end_ms", F.when(wrong, F.col("start_ms")).otherwise(F.col("end_ms"))).drop("plain", "n")
+    count, low, high = speech.agg(F.count("speech_id"), F.min("speech_id"), F.max("speech_id")).first()
+    width = max(1, (high - low + 1) // max(1, count // per_block)) if count else 1
+    cols = ["start_ms", "end_ms", "speaker", *(["clean"] if text else [])]
+    rows = blocked(rows, ["job_id"], "speech_id", width)
+    rows = cut(rows.groupBy("job_id", "__block", "speech_id").agg(F.min(F.struct(*cols)).alias("x")).select("job_id", "__block", "speech_id", "x.*"))
+    keys, file = ["job_id"], ["speech_id"]
+    falls = with_neighbor(rows, keys, file, ["start_ms", "end_ms"], "prev").where("prev.start_ms > start_ms or prev.end_ms > end_ms")
+    if falls.isEmpty():
+        return rows.withColumn("start", F.col("start_ms")).withColumn("end", F.col("end_ms")).drop("end_ms"), file
+    rows = unreset(rows, keys, "speech_id", "start_ms", "lost")
+    rows = cut(rows.withColumn("a", F.col("start_ms") + F.col("lost")).withColumn("b", F.col("end_ms") + F.col("lost")).drop("end_ms", "lost"))
+    for value, fit in (("a", "start"), ("b", "end")):
+        rows = cut(isotonic(rows, keys, file, value, fit, width).drop(value)).repartition("job_id", "__block")
+    rows = rows.withColumn("start", F.round("start").cast("long"))
+    rows = rows.withColumn("end", F.greatest(F.round("end").cast("long"), "start")).drop("__block")
+    return cut(blocked(rows, keys, "start", 900_000)), ["start", "start_ms", "speech_id"]
+
+
+def speaker_turns(speech: DataFrame, **sizes: int) -> DataFrame:
     """(job_id, speaker, first_speech_id, last_speech_id, start_ms, end_ms, n_segments).
 
     Input: speech_id, job_id, start_ms, end_ms, text, speaker_id. Segments in
     whose text nobody says anything are left out first. The speaker is the
     number in speaker_id in any spelling, else that of a label at the head of
     the text, else ``unknown``, who is a speaker like any other. In the order of
-    start_ms (ties: speech_id), each maximal run of one speaker is a turn.
-
-    Times: the order is the recording's, so ends must not fall along it: an end
-    before its start, or more than ``longest_ms`` after it, is a clock fault and
-    set to the start; then isotonic regression repairs the ends. A turn is
-    placed from its first start to its last repaired end.
+    the repaired start (see :func:`placed_segments`), each maximal run of one
+    speaker is a turn, placed from its first repaired start to its last
+    repaired end. Where the file's clock never falls, as TESTDATA.md has it,
+    that is the order of start_ms.
 
     Rows that come twice with one speech_id count once. Null job_id, start_ms or
     speech_id, and null or blank texts: the row is left out. A null end_ms counts as the start.
     """
-    plain = plain_text(F.col("text"))
-    rows = speech.select("speech_id", "job_id", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), plain.alias("plain"), speaker_number(F.col("speaker_id")).alias("n"))
-    rows = rows.where(F.col("job_id").isNotNull() & F.col("start_ms").isNotNull() & F.col("speech_id").isNotNull() & says_something(F.col("plain")))
-    n = F.coalesce("n", head_label(F.col("plain")))
-    rows = rows.withColumn("speaker", F.coalesce(F.concat(F.lit("speaker_"), n), F.lit("unknown"))).drop("plain", "n").dropDuplicates(["speech_id"])
-    wrong = F.col("end_ms").isNull() | (F.col("end_ms") < F.col("start_ms")) | (F.col("end_ms") > F.col("start_ms") + longest_ms)
-    rows = rows.withColumn("end_ms", F.when(wrong, F.col("start_ms")).otherwise(F.col("end_ms")))
-    rows = isotonic(rows, ["job_id"], ["start_ms", "speech_id"], "end_ms", "fit", width)
-    rows = cut(rows).withColumn("fit", F.greatest(F.round("fit").cast("long"), "start_ms"))
-    runs = collapse_runs(rows, ["job_id"], ["start_ms", "speech_id"], width, ["speaker"], F.col("speaker") == F.col("prev.speaker"), ["speaker", "speech_id", "start_ms"], ["speech_id", "fit"])
-    return runs.select("job_id", F.col("first_speaker").alias("speaker"), "first_speech_id", "last_speech_id", F.col("first_start_ms").alias("start_ms"), F.col("last_fit").alias("end_ms"), F.col("n").alias("n_segments"))
+    rows, order = placed_segments(speech, **sizes)
+    runs = collapse_runs(rows, ["job_id"], order, 1, ["speaker"], F.col("speaker") == F.col("prev.speaker"), ["speaker", "speech_id", "start"], ["speech_id", "end"])
+    return runs.select("job_id", F.col("first_speaker").alias("speaker"), "first_speech_id", "last_speech_id", F.col("first_start").alias("start_ms"), F.col("last_end").alias("end_ms"), F.col("n").alias("n_segments"))
+
+
+def turn_texts(speech: DataFrame, **sizes: int) -> DataFrame:
+    """(job_id, first_speech_id, part, speaker, text): the clean text of each turn of :func:`speaker_turns`.
+
+    A turn can be as long as its recording, so its text comes in parts, one for
+    each block of the recording that it reaches into, numbered in order by ``part`` (with gaps).
+    """
+    rows, order = placed_segments(speech, text=True, **sizes)
+    rows = with_neighbor(rows, ["job_id"], order, ["speaker"], "prev")
+    place = F.struct(*order, F.col("speech_id").alias("first"))
+    rows = running(rows, ["job_id"], order, F.when(~F.col("speaker").eqNullSafe(F.col("prev.speaker")), place), "turn", "max")
+    parts = rows.groupBy("job_id", "__block", "turn").agg(F.min("speaker").alias("speaker"), F.sort_array(F.collect_list(F.struct(*order, "clean"))).alias("x"))
+    return parts.select("job_id", F.col("turn.first").alias("first_speech_id"), F.col("__block").alias("part"), "speaker", F.array_join(F.filter(F.transform("x", lambda x: x["clean"]), lambda t: t != ""), " ").alias("text"))

@@ -25,7 +25,7 @@ def test_turns(spark):
         (4, "j", 3000, 9_999_999, "[S2] no", None, 0), (5, "j", 4000, 4500, "just talk", "?", 0), (6, "j", 4000, 4500, "00:00:04.000 ->  um, 那那个", "SPEAKER_03", 0),
         (7, None, 0, 1, "x", "spk1", 0), (8, "j", None, 1, "x", "spk1", 0), (9, "j", 5000, 5100, None, "spk1", 0), (10, "j", 6000, None, "(415) 555-0174", "Spk-12", 0),
     ]
-    got = [tuple(r) for r in turns.speaker_turns(spark.createDataFrame(rows, SPEECH), width=1500).orderBy("start_ms").collect()]
+    got = [tuple(r) for r in turns.speaker_turns(spark.createDataFrame(rows, SPEECH), per_block=3).orderBy("start_ms").collect()]
     assert [g[:4] for g in got] == [("j", "speaker_1", 1, 3), ("j", "speaker_2", 4, 4), ("j", "unknown", 5, 5), ("j", "speaker_12", 10, 10)]
     assert all(g[5] >= g[4] for g in got)
     assert turns.speaker_turns(spark.createDataFrame([], SPEECH)).count() == 0
@@ -37,8 +37,46 @@ def test_isotonic(spark):
     df = spark.createDataFrame(rows, "job_id string, k long, v long")
     got = [r.fit for r in turns.isotonic(df, ["job_id"], ["k"], "v", "fit", 16).orderBy("k").collect()]
     assert got == pytest.approx(list(turns.pool([v for _, _, v in rows])))
-    back = turns.unreset(spark.createDataFrame([("j", k, t) for k, t in enumerate([0, 50_000, 100_000, 5, 60_000])], "job_id string, k long, t long"), ["job_id"], "k", "t", "u").orderBy("k").collect()
-    assert [r.u for r in back] == [0, 50_000, 100_000, 100_000, 159_995]
+    back = turns.unreset(spark.createDataFrame([("j", k, t) for k, t in enumerate([0, 50_000, 100_000, 5, 60_000])], "job_id string, k long, t long"), ["job_id"], "k", "t", "lost").orderBy("k").collect()
+    assert [r.t + r.lost for r in back] == [0, 50_000, 100_000, 100_000, 159_995]
+
+
+@pytest.mark.parametrize("per_block", [2, 7, 16_384])
+def test_turns_after_clock_resets(spark, per_block):
+    """Planted resets and jitter, against the repair and the runs in plain Python; without the repair the turns would be others."""
+    rnd = random.Random(3)
+    rows, clock = [], 0
+    for k in range(120):
+        if k in (40, 41, 90):
+            clock = rnd.randint(0, 2000)
+        clock += rnd.randint(1000, 9000)
+        jitter = rnd.choice([0, 0, 0, 12_000])
+        rows.append((100 + k, "j", clock - jitter, clock + 800, f"word{k}", f"spk{rnd.choice([1, 1, 2])}", 0))
+    lost, last, raw = 0, None, []
+    for i, _, a, b, t, s, _ in rows:
+        if last is not None and last - a > 60_000:
+            lost += last - a
+        raw.append((a + lost, (b if a <= b else a) + lost))
+        last = a
+    starts, ends = ([int(x + 0.5) if x >= 0 else -int(0.5 - x) for x in turns.pool([r[k] for r in raw])] for k in (0, 1))
+    placed = sorted((a, r[2], r[0], r[5].replace("spk", "speaker_"), max(a, b), r[4]) for a, b, r in zip(starts, ends, rows))
+    want, texts = [], []
+    for a, _, i, s, b, t in placed:
+        if want and want[-1][0] == s:
+            want[-1][2:] = [i, want[-1][3], b, want[-1][5] + 1]
+            texts[-1].append(t)
+        else:
+            want.append([s, i, i, a, b, 1])
+            texts.append([t])
+    df = spark.createDataFrame(rnd.sample(rows, len(rows)) + rows[:9], SPEECH)
+    got = sorted(turns.speaker_turns(df, per_block=per_block).collect(), key=lambda r: (r.start_ms, r.first_speech_id))
+    assert [tuple(r[1:]) for r in got] == sorted((tuple(w) for w in want), key=lambda w: (w[3], w[1]))
+    by_start = sorted((r[2], r[0], r[5]) for r in rows)
+    assert len(got) != sum(k == 0 or by_start[k][2] != by_start[k - 1][2] for k in range(len(rows)))
+    parts = {}
+    for r in sorted(turns.turn_texts(df, per_block=per_block).collect(), key=lambda r: r.part):
+        parts.setdefault(r.first_speech_id, []).append(r.text)
+    assert {i: " ".join(p) for i, p in parts.items()} == {w[1]: " ".join(t) for w, t in zip(want, texts)}
 
 
 def test_clean(spark):
