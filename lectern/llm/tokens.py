@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The vocabulary file where the session names none in ``spark.lectern.vocabulary``; read on the driver.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Code points handled at once; a chunk takes about 60 bytes for each.
 CHUNK = 1_000_000
@@ -238,8 +239,20 @@ class Encoder:
         left = np.flatnonzero(alive[:n])
         return ids[left].astype(np.int32), np.searchsorted(left, at), left - np.repeat(at[:-1], np.diff(np.searchsorted(left, at)))
 
-    def _learn(self, text: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Row of each pre-token in what is known, after adding what isn't."""
+    def places(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pre-tokens, where each pre-token's begin, and the code point of it that each id begins at (-1: inside one)."""
+        ids, begin, byte = self.merge(raw)
+        # code points that begin at or before each id's first byte, so that ids can be placed in the text
+        lead = (np.frombuffer(b"".join(raw), np.uint8) & 0xC0) != 0x80
+        places = np.cumsum(lead)
+        size = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum([len(w) for w in raw], out=size[1:])
+        base = np.repeat(size[:-1], np.diff(begin))
+        first = base + byte
+        return ids, begin, np.where(lead[first], places[first] - places[base], -1).astype(np.int32)
+
+    def _learn(self, text: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each pre-token in what is known, after adding what isn't; and which share the hash of another one."""
         h, check = span_hashes(codes, starts, ends, 1), span_hashes(codes, starts, ends, 2)
         keys, one, back = np.unique(h, return_index=True, return_inverse=True)
         k = np.minimum(np.searchsorted(self.known, keys), max(0, len(self.known) - 1))
@@ -249,19 +262,7 @@ class Encoder:
                 self.forget()
                 new[:] = True
             at = one[new]
-            words = [text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-            raw = [w.encode("utf-8", "replace") for w in words]
-            ids, begin, byte = self.merge(raw)
-            # code points that begin at or before each id's first byte, so that ids can be placed in the text
-            lead = (np.frombuffer(b"".join(raw), np.uint8) & 0xC0) != 0x80
-            places = np.cumsum(lead)
-            size = np.zeros(len(raw) + 1, np.int64)
-            np.cumsum([len(w) for w in raw], out=size[1:])
-            base = np.repeat(size[:-1], np.diff(begin))
-            first = base + byte
-            # an id that begins inside a code point is placed at -1
-            whole = lead[first]
-            char = np.where(whole, places[first] - places[base], -1).astype(np.int32)
+            ids, begin, char = self.places([text[s:e].encode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())])
             all_keys = np.concatenate([self.known, keys[new]])
             order = np.argsort(all_keys, kind="stable")
             sizes = np.concatenate([np.diff(self.at), np.diff(begin)])
@@ -273,9 +274,7 @@ class Encoder:
             self.ids, self.chars = flat_ids[take], flat_chars[take]
             k = np.searchsorted(self.known, keys)
         rows = k[back.ravel()]
-        if not np.array_equal(self.check[rows], check):
-            raise ValueError("two pre-tokens share a 64-bit hash; choose another seed")
-        return rows
+        return rows, np.flatnonzero(self.check[rows] != check)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For a chunk: ids, where each text's ids begin, the code point each id begins at (-1: inside one),
@@ -286,13 +285,18 @@ class Encoder:
         text = "".join(texts)
         starts = pre_token_starts(codes, bounds)
         ends = np.append(starts[1:], len(codes))
-        rows = self._learn(text, codes, starts, ends)
-        sizes = (self.at[1:] - self.at[:-1])[rows]
-        take = ranges(self.at[rows], sizes)
+        rows, clash = self._learn(text, codes, starts, ends)
+        at, sizes = self.at[:-1][rows], (self.at[1:] - self.at[:-1])[rows]
+        flat_ids, flat_chars = self.ids, self.chars
+        if len(clash):  # two pre-tokens of one 64-bit hash: those that aren't known are merged by themselves
+            ids, begin, chars = self.places([text[s:e].encode("utf-8", "replace") for s, e in zip(starts[clash].tolist(), ends[clash].tolist())])
+            at[clash], sizes[clash] = len(flat_ids) + begin[:-1], np.diff(begin)
+            flat_ids, flat_chars = np.concatenate([flat_ids, ids]), np.concatenate([flat_chars, chars])
+        take = ranges(at, sizes)
         total = np.concatenate([[0], np.cumsum(sizes)])
         begin = total[np.searchsorted(starts, bounds)]
-        char = self.chars[take]
-        return self.ids[take], begin, np.where(char < 0, -1, np.repeat(starts, sizes) + char), bounds
+        char = flat_chars[take]
+        return flat_ids[take], begin, np.where(char < 0, -1, np.repeat(starts, sizes) + char), bounds
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -342,16 +346,16 @@ def safe_parts(text: str, size: int = CHUNK) -> list[str]:
     return [*parts, text[at:]]
 
 
-def read_vocabulary(spark: SparkSession, path: str = VOCABULARY):
-    """The vocabulary file as a broadcast: under 2 MB, checked, and executors need no copy of their own."""
-    with open(path, "rb") as f:
+def read_vocabulary(spark: SparkSession, path: str | None = None):
+    """The vocabulary file as a broadcast: 16 MB at most, checked, and executors need no copy of their own."""
+    with open(path or spark.conf.get("spark.lectern.vocabulary", VOCABULARY), "rb") as f:
         raw = f.read()
     if len(raw) > 16_000_000:
         raise ValueError("a vocabulary of over 16 MB isn't broadcast")
     return spark.sparkContext.broadcast(raw)
 
 
-def encode_texts(docs: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY) -> DataFrame:
+def encode_texts(docs: DataFrame, id_col: str, text_col: str, path: str | None = None) -> DataFrame:
     """(id, ids): the token ids of each text, without special tokens.
 
     Strings that look like special tokens are ordinary text. Null and empty
@@ -391,37 +395,32 @@ def boundary_strength(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.where(empty, 3, np.where(newline, 2, np.where(stop | west, 1, 0)))
 
 
-def cut_points(tokens_before: np.ndarray, strength: np.ndarray, total: int, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Pieces as (first, last) token, over boundaries at token ``tokens_before``
-    (sorted) of the given strength; a piece has at most ``limit`` tokens.
+class Boundaries:
+    """Boundaries at sorted token offsets, by strength; finds where a piece ends and the next begins by binary search."""
 
-    A piece ends at the strongest boundary of its second half that lies under the
-    limit, of equal ones at the last, by binary search in the sorted array; with
-    no boundary there, at the hard limit. The next piece begins ``overlap``
-    tokens before that end, or at the nearest boundary after that point.
-    """
-    if total <= limit:
-        return [(0, total)]
-    by_strength = [tokens_before[strength >= s] for s in range(4)]
-    out, start = [], 0
-    while total - start > limit:
-        hard = start + limit
-        floor = start + max(limit // 2, overlap + 1)
-        end = hard
+    def __init__(self, tokens_before: np.ndarray, strength: np.ndarray, limit: int, overlap: int):
+        self.by_strength = [tokens_before[strength >= s] for s in range(4)]
+        self.limit, self.overlap = limit, overlap
+
+    def end(self, start: int) -> int:
+        """The strongest boundary of the piece's second half that lies under the limit, of equal ones the last; else the hard limit."""
+        hard = start + self.limit
+        floor = start + max(self.limit // 2, self.overlap + 1)
         for s in (3, 2, 1, 0):
-            k = np.searchsorted(by_strength[s], hard, "right") - 1
-            if k >= 0 and by_strength[s][k] >= floor:
-                end = int(by_strength[s][k])
-                break
-        out.append((start, end))
-        back = end - overlap
-        k = np.searchsorted(by_strength[0], back, "left")
-        start = int(by_strength[0][k]) if k < len(by_strength[0]) and by_strength[0][k] < end else back
-    out.append((start, total))
-    return out
-
-
-def split_texts(docs: DataFrame, id_col: str, text_col: str, limit: int = 1024, overlap: int = 128, path: str = VOCABULARY, with_text: bool = True) -> DataFrame:
+            k = np.searchsorted(self.by_strength[s], hard, "right") - 1
+            if k >= 0 and self.by_strength[s][k] >= floor:
+                return int(self.by_strength[s][k])
+        return hard
+
+    def next_start(self, start: int, end: int) -> int:
+        """The boundary nearest to ``overlap`` tokens before the end, of two the earlier; without one within half an overlap, that point itself."""
+        back, words = end - self.overlap, self.by_strength[0]
+        k = int(np.searchsorted(words, back, "left"))
+        near = [int(w) for w in words[max(0, k - 1) : k + 1] if start < w < end and abs(int(w) - back) <= self.overlap // 2]
+        return min(near, key=lambda w: (abs(w - back), w), default=back)
+
+
+def split_texts(docs: DataFrame, id_col: str, text_col: str, limit: int = 1024, overlap: int = 128, path: str | None = None, with_text: bool = True) -> DataFrame:
     """(id, piece_no, start_char, end_char, n_tokens[, piece]): each text in pieces of at most ``limit`` tokens.
 
     Offsets of tokens are prefix sums over the encoded text; natural boundaries
@@ -448,24 +447,32 @@ def split_texts(docs: DataFrame, id_col: str, text_col: str, limit: int = 1024,
         whole = np.append(np.flatnonzero(chars >= 0), total)
         edge = np.append(chars, len(codes))
         clean = np.append(is_start, True)
-        out = []
-        for a, b in cut_points(at, strength, total, limit, overlap):
-            a, b = (int(whole[np.searchsorted(whole, x, "right") - 1]) for x in (a, b))
-            s, e, n = int(edge[a]), int(edge[b]), b - a
-            if clean[a] and clean[b]:
-                # alone, the white space at a piece's end is one pre-token
-                tail = e - s - len(text[s:e].rstrip())
-                if tail > 1 and b < total:
-                    first = int(np.searchsorted(np.maximum.accumulate(chars[a:b]), e - tail)) + a
-                    n += len(enc.encode([text[e - tail : e]])[0]) - (b - first)
-            else:
-                n = len(enc.encode([text[s:e]])[0])
-                while n > limit:  # a cut inside a pre-token can give more tokens than the text had there
-                    b = int(whole[np.searchsorted(whole, b, "left") - 1])
-                    e = int(edge[b])
-                    n = len(enc.encode([text[s:e]])[0])
-            out.append((s, e, n))
-        return out
+        before = lambda x: int(whole[np.searchsorted(whole, x, "right") - 1])
+
+        def size(a: int, b: int) -> int:
+            """Tokens of the piece by itself."""
+            s, e = int(edge[a]), int(edge[b])
+            if not (clean[a] and clean[b]):
+                return len(enc.encode([text[s:e]])[0])
+            # alone, the white space at a piece's end is one pre-token
+            tail = e - s - len(text[s:e].rstrip())
+            if tail <= 1 or b == total:
+                return b - a
+            first = int(np.searchsorted(np.maximum.accumulate(chars[a:b]), e - tail)) + a
+            return first - a + len(enc.encode([text[e - tail : e]])[0])
+
+        out, found, a = [], Boundaries(at, strength, limit, overlap), 0
+        while True:
+            b = total if total - a <= limit else before(found.end(a))
+            n = size(a, b)
+            while n > limit:  # a cut inside a pre-token can give more tokens than the text had there
+                b = before(b - 1)
+                n = size(a, b)
+            out.append((int(edge[a]), int(edge[b]), n))
+            if b == total:
+                return out
+            # from where the piece really ends, and on from where it began
+            a = max(before(found.next_start(a, b)), int(whole[np.searchsorted(whole, a, "right")]))
 
     def spread(enc: Encoder, texts: list[str]):
         """(code points, places of the ids, whether they begin a pre-token) of each text."""

@@ -265,6 +265,16 @@ def test_ids(spark, libraries):
     assert tokens.encode_texts(df.where("false"), "doc_id", "text").count() == 0
 
 
+def test_ids_where_hashes_clash(libraries, monkeypatch):
+    spans = tokens.span_hashes
+    monkeypatch.setattr(tokens, "span_hashes", lambda codes, a, b, seed: spans(codes, a, b, seed) % 7 if seed == 1 else spans(codes, a, b, seed))
+    with open(tokens.VOCABULARY, "rb") as f:
+        enc = tokens.Encoder(f.read())
+    for _ in range(2):
+        ids, begin, _, _ = enc.encode(ODD)
+        assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [libraries.encode(t, add_special_tokens=False).ids for t in ODD]
+
+
 def test_very_long_texts_in_parts(libraries, monkeypatch):
     monkeypatch.setattr(tokens, "CHUNK", 50)
     text = "it's a  test\n\nof 分段 'll  and\t more " * 40
@@ -291,6 +301,8 @@ def test_pieces(spark, libraries):
             assert p.n_tokens == len(libraries.encode(p.piece).ids) <= 100
         for a, b in zip(ps, ps[1:]):
             assert a.start_char < b.start_char < a.end_char < b.end_char
+            # 20 tokens, or at most half of that more or less; counted by itself, a cut inside a pre-token adds a few
+            assert 9 <= len(libraries.encode(t[b.start_char : a.end_char]).ids) <= 34
 
 
 # --- 9 ---------------------------------------------------------------------
