@@ -87,8 +87,9 @@ def collapse_runs(df: DataFrame, keys: list[str], order: list[str], width: int,
     parts = [*keys, "__block"]
     inner = Window.partitionBy(*parts).orderBy(*order)
     rows = blocked(df, keys, order[0], width).withColumn("__live", live)
-    rows = rows.withColumn("prev", F.lag(F.struct(*carry)).over(inner)).withColumn("__pos", F.row_number().over(inner).cast("long"))
-    rows = rows.withColumn("__end", F.lead(F.lit(True)).over(inner).isNull()).withColumn("__cut", is_cut)
+    rows = rows.withColumn("prev", F.lag(F.struct(*carry)).over(inner)).withColumn("__cut", is_cut)
+    # a window over __cut: so it is worked out once, below the filter
+    rows = rows.withColumn("__end", F.lead("__cut").over(inner).isNull()).withColumn("__pos", F.row_number().over(inner).cast("long"))
     needed = list(dict.fromkeys([*parts, *order, *cols, *first, *last, "__live", "prev", "__pos", "__end", "__cut"]))
     rows = cut(rows.where("__cut or __end or __pos = 1").select(*needed))
     # one row for each block: its size, and the last row before it
