@@ -28,6 +28,9 @@ def page_stays(frames: DataFrame, near: float = 0.15, width: int = 1_800_000) ->
     rows = blocked(rows, ["job_id"], "ts", width).groupBy("job_id", "__block", "ts").agg(F.min("t").alias("t"))
     longer = F.greatest(F.length("t"), F.length("prev.t"))
     apart = F.abs(F.length("t") - F.length("prev.t"))
-    same = (F.col("t") == F.col("prev.t")) | ((apart <= near * longer) & (F.levenshtein("t", "prev.t") <= near * longer))
+    most = F.floor(near * longer).cast("int")
+    # with a bound the distance is worked out in a band about the diagonal only; over it, it is -1
+    close = F.call_function("levenshtein", F.col("t"), F.col("prev.t"), most) >= 0
+    same = (F.col("t") == F.col("prev.t")) | ((apart <= most) & close)
     runs = collapse_runs(rows, ["job_id"], ["ts"], width, ["t"], same, ["ts"], ["ts"], F.col("t").isNotNull())
     return runs.select("job_id", F.col("first_ts").alias("first_ms"), F.col("last_ts").alias("last_ms"), F.col("n").alias("n_frames"), (F.col("last_ts") - F.col("first_ts")).alias("duration_ms"))
