@@ -13,7 +13,7 @@ from lectern.session import fresh_dir, remove_dir
 #: Rows of both sides that one slice of media time may hold in each shuffle partition, about: what a task keeps as state.
 SLICE_ROWS = 250_000
 #: Cells of media time that are counted to find the slices, at most.
-CELLS = 1 << 18
+CELLS = 1 << 16
 DAY_MS = 86_400_000
 
 
