@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,6 +20,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -57,6 +59,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, what: str = "table") -> DataFrame:
+    """Like :func:`cut`, as a Parquet table in the shared folder: for wide or long results of which later
+    readers take some columns. It goes when the application ends."""
+    spark = df.sparkSession
+    folder = fresh_dir(spark, what)
+    df.write.parquet(folder)
+    atexit.register(forget_dir, spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def forget_dir(spark: SparkSession, folder: str) -> None:
+    """Removes a folder at the end of the application, where it still can."""
+    try:
+        remove_dir(spark, folder)
+    except Exception:  # noqa: BLE001 - the session can be gone by now
+        pass
+
+
 def remove_dir(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
