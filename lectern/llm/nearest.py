@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import replay
-from lectern.session import fresh_dir, remove_dir
+from lectern.session import forget_dir, fresh_dir
 
 #: Rows of both sides that one slice of media time may hold in each shuffle partition, about: what a task keeps as state.
 SLICE_ROWS = 250_000
@@ -97,12 +97,6 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_ms: int = 400,
     streams = [spark.readStream.schema(schema).parquet(f"{base}/in/*/side={side}") for side in (0, 1)]
     found = nearest_stream(streams[0].withColumnRenamed("id", "left_id"), streams[1].withColumnRenamed("id", "right_id"), tolerance_ms, 0)
     replay.run(spark, found, base, last + 3)
-    atexit.register(_forget, spark, base)
+    atexit.register(forget_dir, spark, base)
     return spark.read.schema(found.schema).parquet(f"{base}/out")
 
-
-def _forget(spark: SparkSession, base: str) -> None:
-    try:
-        remove_dir(spark, base)
-    except Exception:  # noqa: BLE001 - the session can be gone by now, and its folder with it
-        pass
