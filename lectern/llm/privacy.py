@@ -1,13 +1,15 @@
 """Problem 4: personal information in free text, by anchor expansion.
 
 One Aho-Corasick pass over a text finds the anchors: at-signs and their
-spellings, digits and spoken digits, street words, and name parts. Only around
-an anchor a local parser reads on to both sides, and accepts a span if its form
-is valid. Everything is deterministic, and positions are those of the text.
+spellings, digits and spoken digits, words that say a number is an identity's or
+a telephone's, street words, and name parts. Only around an anchor a local
+parser reads on to both sides, as far as its own form goes, and accepts a span
+if its form is valid. Everything is deterministic, and positions are those of the text.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 import unicodedata
@@ -29,13 +31,16 @@ ID_CUES = ("ssn", "social security", "my id", "identity", "身份证", "证件",
 PHONE_CUES = ("call", "text", "phone", "tel", "mobile", "number is", "reach", "dial", "ring", "电话", "手机", "号码", "回拨", "拨打", "致电")
 NO_STREET_NAMES = frozenset("of by the and at a an in on to for or is are was be each with from per that this it as than page unit pixels pm am minutes hours days".split())
 
-_LOCAL = r"[a-z0-9_%+\-]+(?:\.[a-z0-9_%+\-]+)*"
 _HOST = r"[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?"
 _DOT = r"(?:\.|\s*[\[(]dot[\])]\s*|\s+dot\s+|\s*点\s*)"
-#: Left and right of an at-sign; spoken dots stand between the parts.
-_BEFORE = re.compile(rf"(?:mailto:)?((?:[a-z0-9_%+\-]+{_DOT})*[a-z0-9_%+\-]+)\s*$")
+#: Right of an at-sign; spoken dots stand between the parts.
 _AFTER = re.compile(rf"\s*({_HOST}(?:{_DOT}{_HOST})*{_DOT}[a-z]{{2,}})(?![a-z0-9])")
-_TIGHT = re.compile(rf"({_LOCAL})$")
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_%+-")
+#: The weights and check characters of the 18-character identity number (ISO 7064, MOD 11-2), stated as fixed values.
+_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
+_CHECKS = "10x98765432"
+#: Where what a cue says of a number ends.
+_CLAUSE = re.compile(r"[.!?。！？;；\n](?!\S)|[。！？；\n]")
 
 _CELL = r"1[3-9][0-9][ \-]?[0-9]{4}[ \-]?[0-9]{4}"
 _ID = re.compile(r"(?<![0-9a-z])[1-9][0-9]{5}[ \-]?(?:18|19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[ \-]?[0-9]{3}[0-9x](?![0-9a-z])")
@@ -97,6 +102,9 @@ class Finder:
             anchors.setdefault(w, []).append("street")
         for w in STREETS_EN:
             anchors.setdefault(f" {w}", []).append("road")
+        for cues, kind in ((ID_CUES, "id cue"), (PHONE_CUES, "phone cue")):
+            for w in cues:
+                anchors.setdefault(w, []).append(kind)
         self.automaton = ahocorasick.Automaton()
         for w, kinds in anchors.items():
             self.automaton.add_word(w, (len(w), w, tuple(kinds)))
@@ -108,12 +116,15 @@ class Finder:
         found: list[tuple[int, int, str]] = []
         parts: list[tuple[int, int, str]] = []
         digits_to = spoken_to = words_to = -1
+        cues = Cues(low)
         for last, (size, word, kinds) in self.automaton.iter(low):
             first, end = last - size + 1, last + 1
             for kind in kinds:
                 if kind == "digit":
                     if first >= digits_to:
-                        digits_to = self._digits(low, first, found)
+                        digits_to = self._digits(low, first, found, cues)
+                elif kind in ("id cue", "phone cue"):
+                    cues.last[kind] = end
                 elif kind == "at":
                     self._email(low, first, end, word, found)
                 elif kind == "part":
@@ -139,27 +150,18 @@ class Finder:
         host = re.sub(_DOT, ".", after.group(1))
         if host.replace(".", "").isdigit():
             return
-        left = low[max(0, first - 80) : first]
-        before = _BEFORE.search(left)
-        if not before or not re.search("[a-z0-9]", before.group(1)):
+        spoken = word not in ("@", "<at>", "{at}", "[at]", "(at)")
+        start = _local_start(low, first, spoken)
+        if start is None or not re.search("[a-z0-9]", low[start:first]):
             return
-        local = before.group(1)
-        if word in ("@", "<at>", "{at}", "[at]", "(at)") or " dot " not in local:
-            tight = _TIGHT.search(left.rstrip())
-            start = before.start(1) if tight is None else max(0, first - 80) + tight.start()
-            if " dot " in local:
-                start = max(0, first - 80) + before.start(1)
-        else:
-            start = max(0, first - 80) + before.start(1)
         if word == " at " and " dot " not in after.group(1) and "." not in after.group(1):
             return
-        start, stop = start, after.end(1)
-        if low[max(0, start - 7) : start] == "mailto:":
+        if low.endswith("mailto:", 0, start):
             start -= 7
-        found.append((start, stop, "email"))
+        found.append((start, after.end(1), "email"))
 
     @staticmethod
-    def _digits(low: str, first: int, found: list) -> int:
+    def _digits(low: str, first: int, found: list, cues: Cues) -> int:
         start = first
         while start and low[start - 1] in "+(":
             start -= 1
@@ -172,10 +174,12 @@ class Finder:
         near = (max(0, start - 1), min(len(low), stop + 1))
         taken = []
 
-        def take(pattern: re.Pattern, kind: str, cues: tuple = ()) -> None:
+        def take(pattern: re.Pattern, kind: str, cue: str | None = None) -> None:
             for m in pattern.finditer(low, near[0], near[1]):
                 a, b = m.span()
-                if cues and not any(c in low[max(0, a - 24) : a] for c in cues):
+                if pattern is _ID and not (_checked(m.group()) or cues.tell("id cue", a)):
+                    continue
+                if cue and not cues.tell(cue, a):
                     continue
                 if all(b <= x or a >= y for x, y in taken):
                     taken.append((a, b))
@@ -185,8 +189,8 @@ class Finder:
         take(_PHONE_CN, "phone")
         take(_PHONE_US, "phone")
         take(_SSN, "id_number")
-        take(_NINE, "id_number", ID_CUES)
-        take(_TEN, "phone", PHONE_CUES)
+        take(_NINE, "id_number", "id cue")
+        take(_TEN, "phone", "phone cue")
         return stop
 
     @staticmethod
@@ -224,7 +228,7 @@ class Finder:
         house = _HOUSE_ZH.match(low, end)
         if not house:
             return
-        before = _DISTRICT_ZH.search(low, max(0, first - 12), first)
+        before = _DISTRICT_ZH.search(low, max(0, first - 12), first)  # the form has 11 characters at most
         if before:
             start = before.start()
             while start < first - 1 and low[start] in "在到住于就寄是":
@@ -235,8 +239,13 @@ class Finder:
     def _street_en(low: str, first: int, end: int, found: list) -> None:
         if end < len(low) and (low[end].isalnum() or low[end] in "'-"):
             return
-        left = low[max(0, first - 64) : first + 1]
-        base = max(0, first - 64)
+        base = first
+        for _ in range(5):  # a number and up to three words before the street word, whatever their length
+            while base and low[base - 1].isspace():
+                base -= 1
+            while base and not low[base - 1].isspace():
+                base -= 1
+        left = low[base : first + 1]
         number = _NUMBER_EN.search(left)
         if number and not NO_STREET_NAMES & set(number.group(1).split()):
             found.append((base + number.start(), _TAIL_EN.match(low, end).end(), "address"))
@@ -247,14 +256,17 @@ class Finder:
 
     def _pairs(self, low: str, parts: list[tuple[int, int, str]], found: list) -> None:
         parts.sort()
+        taken = -1  # a part that ends one name doesn't begin the next
         for k, (a, b, one) in enumerate(parts):
+            if a < taken:
+                continue
             cjk_one = {c for _, c in self.names[one]}
             if cjk_one == {False} and not _whole(low, a, b):
                 continue
             for c, d, other in parts[k + 1 :]:
                 if c < b:
                     continue
-                if c - b > 6:
+                if c - b > 7:  # the longest that can stand between
                     break
                 for kind, cjk in self.names[one]:
                     wanted = ("given" if kind == "family" else "family", cjk)
@@ -263,8 +275,65 @@ class Finder:
                     if cjk:
                         if _GLUE_ZH.fullmatch(low, b, c):
                             found.append((a, d, "name"))
+                            taken = max(taken, d)
                     elif _whole(low, c, d) and _GLUE_EN.fullmatch(low, b, c):
                         found.append((a, d, "name"))
+                        taken = max(taken, d)
+
+
+class Cues:
+    """Where words that tell the kind of a number stood last, and whether they are of the same sentence as a place."""
+
+    def __init__(self, low: str):
+        self.low, self.last, self.ends = low, {}, None
+
+    def tell(self, kind: str, place: int) -> bool:
+        cue = self.last.get(kind)
+        if cue is None or cue > place:
+            return False
+        if self.ends is None:
+            self.ends = [m.start() for m in _CLAUSE.finditer(self.low)]
+        return bisect.bisect_left(self.ends, cue) == bisect.bisect_left(self.ends, place)
+
+
+def _checked(number: str) -> bool:
+    """Whether the last character of an 18-character identity number is the check of the others."""
+    digits = [c for c in number if c not in " -"]
+    return _CHECKS[sum(int(c) * w for c, w in zip(digits, _WEIGHTS)) % 11] == digits[-1]
+
+
+def _local_start(low: str, end: int, spoken: bool) -> int | None:
+    """Where the local part of an address before ``end`` begins: words and the dots between them, read backwards.
+
+    Dots spoken as ``dot`` belong to it; those as 点 where the at-sign is spoken as well.
+    """
+    while end and low[end - 1].isspace():
+        end -= 1
+    start = None
+    while True:
+        word = end
+        while word and low[word - 1] in _LOCAL:
+            word -= 1
+        if word == end:
+            return start
+        start = word
+        if word and low[word - 1] == ".":
+            end = word - 1
+            continue
+        gap = word
+        while gap and low[gap - 1].isspace():
+            gap -= 1
+        if low.endswith(("(dot)", "[dot]"), 0, gap):
+            gap -= 5
+        elif gap < word and low.endswith("dot", 0, gap) and low[gap - 4 : gap - 3].isspace():
+            gap -= 3
+        elif spoken and low.endswith("点", 0, gap):
+            gap -= 1
+        else:
+            return start
+        while gap and low[gap - 1].isspace():
+            gap -= 1
+        end = gap
 
 
 def _whole(low: str, a: int, b: int) -> bool:
