@@ -159,8 +159,11 @@ x as (select *, n_untitled = 0 as titled, n_blank = 0 as bodies, n_lost = 0 as e
         "clear_switches": """, o as (select l.seg_id, r.speaker_id, l.end_ms - l.start_ms as dur, sum(least(l.end_ms, r.end_ms) - greatest(l.start_ms, r.start_ms)) as ms from seg l join turn r
 on l.job_id = r.job_id and l.start_ms < r.end_ms and r.start_ms < l.end_ms and l.start_ms < l.end_ms group by 1, 2, 3)
 select seg_id, count(*) as n_speakers from o where ms >= 0.15 * dur group by 1 having count(*) >= 2""",
-        "resolved_confidence": """ select speech_id, case when speaker = 'unknown' then case when confidence is null then null else least(confidence, 0.3::double) end
-else greatest(0.0::double, least(1.0::double, coalesce(confidence, match_ratio))) end as resolved from (select * replace (confidence as confidence) from sp)""",
+        "resolved_confidence": """, o as (select l.speech_id, r.source, r.speaker_id, l.end_ms - l.start_ms as dur, sum(least(l.end_ms, r.end_ms) - greatest(l.start_ms, r.start_ms)) as ms from sp l join turn r
+ on l.job_id = r.job_id and l.start_ms < r.end_ms and r.start_ms < l.end_ms and l.start_ms < l.end_ms group by 1, 2, 3, 4),
+v as (select distinct speech_id from (select speech_id, source from o where ms >= 0.15 * dur group by 1, 2 having count(*) >= 2)), i as (select distinct speech_id, inferred from speech_segments),
+x as (select sp.*, coalesce(confidence, match_ratio) * case when coalesce(i.inferred, false) then 0.8::double when v.speech_id is not null then 0.5::double else 1 end as value from sp join i using (speech_id) left join v on v.speech_id = sp.speech_id)
+select speech_id, case when speaker = 'unknown' then case when confidence is null then null else least(confidence, 0.3::double) end when value is null then null else greatest(0.0::double, least(1.0::double, value)) end as resolved from x""",
         "segment_roles": """, k as (select job_id, speaker, count(*) as n, min((start_ms, speech_id)) as k from sp where speaker <> 'unknown' group by 1, 2),
 l as (select job_id, arg_min(speaker, (-n, k, speaker)) as lead from k group by 1)
 select job_id, case when speaker = 'unknown' then 'unknown' when speaker = lead then 'lead' else 'participant' end as role, count(*) as n from sp left join l using (job_id) group by 1, 2""",

@@ -22,7 +22,7 @@ def format_timestamps(s, d):
 
 
 def character_error_rate(s, d):
-    """Of all segments that have both texts; the SQL has only those in ASCII, as DuckDB counts bytes."""
+    """Of all segments that have both texts."""
     rows = table(s, d, "transcript_segments", "seg_id", "text", "raw_text").dropDuplicates(["seg_id"]).where("raw_text is not null and text is not null")
     return rows.select("seg_id", t.error_rate(F.col("raw_text"), F.col("text")).alias("cer"))
 
@@ -156,7 +156,7 @@ def case_size_flags(s, d):
 def sync_plan(s, d):
     """Each document that has a text against the last copy before it of its title and course: create, update or skip by hash.
 
-    Before: by created_at, then doc_id. Without a title nothing is known of a document, so it is created. The SQL plans half of the documents.
+    Before: by created_at, then doc_id. Without a title nothing is known of a document, so it is created.
     """
     docs = table(s, d, "documents", "doc_id", "text", "title", "course_id", "created_at").where("text is not null").select("doc_id", "title", "course_id", "created_at", F.sha2("text", 256).alias("h"))
     alone = F.when(F.col("title").isNull(), F.col("doc_id"))  # else all without a title would be one group
@@ -243,7 +243,7 @@ def engine_ranking(s, d):
 
 
 def hash_hamming(s, d):
-    """Sign bits of all dimensions, 32 to a long, and their distance to the vector before of the same label; the SQL has the first 32."""
+    """Sign bits of all dimensions, 32 to a long, and their distance to the vector before of the same label."""
     long = lambda k: F.aggregate(F.transform(F.slice("embedding", k * 32 + 1, 32), lambda x: F.when(x > 0, 1).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a * 2 + x)
     bits = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size("embedding"), F.lit(1)) - 1) / 32).cast("int")), long)
     rows = table(s, d, "embeddings", "vec_id", "label", "embedding").where("embedding is not null").select("vec_id", "label", bits.alias("bits"))
@@ -301,8 +301,11 @@ SQL = {
     for k, v in {
         "text_keys": f" select seg_id, {_KEY.format('text')} as key, length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) as n from seg",
         "format_timestamps": f" select seg_id, {_CLOCK('start_ms', '.')} as at, {_CLOCK('end_ms', ',')} as until from seg",
-        "character_error_rate": """, k as (select distinct on (seg_id) seg_id, text, raw_text from transcript_segments where raw_text is not null and text is not null)
-select seg_id, case when length(raw_text) = 0 then case when length(text) = 0 then 0.0 else 1.0 end else levenshtein(raw_text, text) * 1.0::double / length(raw_text) end as cer from k where not regexp_matches(text || raw_text, '[^\\x00-\\x7f]')""",
+        # DuckDB's levenshtein counts bytes, so each character of a pair becomes one of its own
+        "character_error_rate": """, k as (select distinct on (seg_id) seg_id, text, raw_text from transcript_segments where raw_text is not null and text is not null),
+c as (select *, list_distinct(str_split(text || raw_text, '')) as x from k),
+m as (select seg_id, length(raw_text) as n, length(text) as h, array_to_string(list_transform(str_split(raw_text, ''), lambda c: chr(cast(list_position(x, c) as int))), '') as a, array_to_string(list_transform(str_split(text, ''), lambda c: chr(cast(list_position(x, c) as int))), '') as b from c)
+select seg_id, case when n = 0 then case when h = 0 then 0.0 else 1.0 end else levenshtein(a, b)::double / n end as cer from m""",
         "pii_counts": """, k as (select seg_id, regexp_extract_all(text, '[0-9]+[Xx]?') as runs, text from seg),
 c as (select seg_id, len(list_filter(runs, lambda x: regexp_full_match(x, '1[3-9][0-9]{9}[Xx]?'))) as phones, len(list_filter(runs, lambda x: regexp_full_match(x, '[0-9]{17}[0-9Xx]') or regexp_full_match(x, '[0-9]{18}[Xx]'))) as ids,
 len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) as emails from k)
@@ -358,8 +361,8 @@ select doc_id, block, a[1] * 3600000 + a[2] * 60000 + a[3] * 1000 + a[4] as star
     "content_hashes": "select doc_id, sha256(text) as hash from documents where text is not null",
     "course_set_difference": """select course_id, 'jobs' as side from (select course_id from jobs except select course_id from knowledge_entries)
 union all select course_id, 'entries' as side from (select course_id from knowledge_entries except select course_id from jobs)""",
-    "sync_plan": """with n as (select title, arg_max(text, doc_id) as old from documents where text is not null and doc_id % 2 = 1 and title is not null group by 1)
-select doc_id, case when old is null then 'create' when old = text then 'skip' else 'update' end as action from documents left join n using (title) where text is not null and doc_id % 2 = 0""",
+    "sync_plan": """with k as (select doc_id, text, lag(text) over (partition by title, course_id, case when title is null then doc_id end order by created_at, doc_id) as old from documents where text is not null)
+select doc_id, case when old is null then 'create' when old = text then 'skip' else 'update' end as action from k""",
     "bm25_search": f"""with q as (select distinct item_id as query_id, unnest({_WORDS.format('text')}) as token from eval_items where item_id % 20 = 0),
 d as (select doc_id, {_WORDS.format('text')} as w from documents where text is not null), st as (select count(*) as n, avg(len(w)) as mean from d),
 p as (select doc_id, dl, token, count(*) as tf from (select doc_id, len(w) as dl, unnest(w) as token from d) where token in (select token from q) group by 1, 2, 3),
@@ -368,6 +371,6 @@ s as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0
 z as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) select * from z where rank <= 8""",
     "engine_ranking": """with k as (select job_id, source, count(distinct turn_id) as n from speaker_turns group by 1, 2)
 select *, row_number() over (partition by job_id order by n desc, source) as rank from k""",
-    "hash_hamming": """with k as (select vec_id, label, list_reduce(list_transform(embedding[1:32], lambda x: case when x > 0 then 1::bigint else 0::bigint end), lambda a, x: a * 2 + x) as bits from embeddings),
-p as (select vec_id, bits, lag(bits) over (partition by label order by vec_id) as prev from k) select vec_id, cast(bit_count(xor(bits, prev)) as bigint) as hamming from p where prev is not null""",
+    "hash_hamming": """with k as (select vec_id, embedding as a, lag(embedding) over (partition by label order by vec_id) as b from embeddings where embedding is not null)
+select vec_id, len(list_filter(list_zip(a, b), lambda p: (p[1] > 0) <> (p[2] > 0))) as hamming from k where b is not null""",
 }

@@ -210,9 +210,9 @@ select job_id, timestamp_ms, arg_min(board_id, (far, case when far = 0 then 0 el
         "unknown_run_inherit": f""", {_ISLES},
 n as (select *, lag(speaker) over w as ls, lag(last_end) over w as le, lead(speaker) over w as rs, lead(first_start) over w as rb from runs window w as (partition by job_id order by grp))
 select job_id, first_speech_id, speaker, case when speaker <> 'unknown' or last_end - first_start > 8000 then speaker
-  when ls = rs and first_start - le <= 3000 and rb - last_end <= 3000 then ls
-  when rs is null and ls is not null and first_start - le <= 3000 then ls
-  when ls is null and rs is not null and rb - last_end <= 3000 then rs else speaker end as filled from n""",
+  when ls = rs and first_start - le <= 1000 and rb - last_end <= 1000 then ls
+  when rs is null and ls is not null and first_start - le <= 250 then ls
+  when ls is null and rs is not null and rb - last_end <= 250 then rs else speaker end as filled from n""",
         "speaker_first_seen_rank": """, k as (select job_id, speaker_id, min((start_ms, end_ms, speaker_id)) as k from turn group by 1, 2)
 select job_id, speaker_id, dense_rank() over (partition by job_id order by k) - 1 as rank from k""",
         "running_overlap_check": """, k as (select turn_id, start_ms, max(end_ms) over (partition by job_id order by start_ms, turn_id rows between unbounded preceding and 1 preceding) as reach from turn)
