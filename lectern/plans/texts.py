@@ -175,7 +175,7 @@ def bm25_search(s, d):
 
 
 def ngram_search(s, d):
-    queries = table(s, d, "courses", "course_id", "title", "ordinal").where("ordinal % 20 = 0").select(F.col("course_id").alias("query_id"), F.col("title").alias("text"))
+    queries = table(s, d, "courses", "course_id", "title").where("cast(substring(course_id, 2) as int) % 20 = 0").select(F.col("course_id").alias("query_id"), F.col("title").alias("text"))
     return retrieval.gram_search(r.entries(s, d), queries)
 
 
@@ -294,6 +294,9 @@ rg as (select job_id, case_id, min(pos) as a, max(pos) as b from ev join pl usin
 _WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 _GRAMS = """unnest(list_concat(flatten(list_transform(regexp_extract_all({0}, '[\\x{{4e00}}-\\x{{9fff}}]+'), lambda r: flatten(list_transform([2, 3, 4], lambda n:
   list_transform(range(1, length(r) - n + 2), lambda i: substr(r, i, n)))))), list_transform(list_filter(regexp_extract_all({0}, '[A-Za-z0-9]+'), lambda w: length(w) >= 2), lambda w: lower(w))))"""
+_BOX = """with b as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as id, l_partkey % 640 as x, l_suppkey % 360 as y, 20 + l_linenumber * 30 as w, 20 + cast(floor(l_quantity) as int) * 4 as h from lineitem),
+p as (select a.l_orderkey, a.id, b.id as i, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) as o, a.w * a.h + b.w * b.h as s from b a left join b on a.l_orderkey = b.l_orderkey and a.id <> b.id),
+m as (select *, case when i is not null then o::double / (s - o) end as v from p)"""
 _STOP = "('如何', '应该', '分别', '方式', '时候', '怎么', '什么', '进行')"
 
 SQL = {
@@ -335,7 +338,7 @@ select x.job_id, cast(ref_ms as bigint) as ref_ms, cast(missed_ms as bigint) as
 m as (select *, cast(greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y)) as double) as i from k where b is not null)
 select board_id, i / (a.width * a.height + b.width * b.height - i) as iou from m""",
         "page_rates": " select job_id, count(*) as n, count(distinct version_id) as n_distinct, 1 - count(distinct version_id) * 1.0::double / count(*) as duplicate_rate from board where version_id is not null group by 1",
-        "ngram_search": f""", q as (select distinct course_id as query_id, {_GRAMS.format('title')} as token from courses where ordinal % 20 = 0),
+        "ngram_search": f""", q as (select distinct course_id as query_id, {_GRAMS.format('title')} as token from courses where cast(substr(course_id, 2) as int) % 20 = 0),
 g as (select id, true as t, {_GRAMS.format("coalesce(title, '')")} as token from en union all select id, false as t, {_GRAMS.format("coalesce(body, '')")} as token from en),
 h as (select id, token, bool_or(t) as t from g where token in (select token from q) and token not in {_STOP} group by 1, 2),
 df as (select token, count(*) as df from h group by 1),
@@ -361,6 +364,11 @@ select doc_id, block, a[1] * 3600000 + a[2] * 60000 + a[3] * 1000 + a[4] as star
     "content_hashes": "select doc_id, sha256(text) as hash from documents where text is not null",
     "course_set_difference": """select course_id, 'jobs' as side from (select course_id from jobs except select course_id from knowledge_entries)
 union all select course_id, 'entries' as side from (select course_id from knowledge_entries except select course_id from jobs)""",
+    "evidence_hash": f"""with k as (select distinct on (id) id, evidence_json as e, from_json(evidence_json, '["VARCHAR"]') as x from knowledge_entries)
+select id, case when e is not null then sha256('[' || coalesce(array_to_string(list_transform(x, lambda i: '"' || i || '"'), ','), '') || ']') end as hash from k""",
+    "box_best_iou": f"""{_BOX} select l_orderkey, id, cast(count(i) as bigint) as n_met, coalesce(max(v), 0.0::double) as best_iou, coalesce(max(v), 0.0) >= 0.5 as hit from m group by 1, 2""",
+    "box_iou_scores": f"""{_BOX}, o as (select l_orderkey, id, coalesce(max(v), 0.0::double) as v from m group by 1, 2)
+select l_orderkey, count(*) as n, avg(v) as mean_iou, avg(case when v >= 0.5 then 1.0::double else 0.0 end) as top_k_hit_rate from o group by 1""",
     "sync_plan": """with k as (select doc_id, text, lag(text) over (partition by title, course_id, case when title is null then doc_id end order by created_at, doc_id) as old from documents where text is not null)
 select doc_id, case when old is null then 'create' when old = text then 'skip' else 'update' end as action from k""",
     "bm25_search": f"""with q as (select distinct item_id as query_id, unnest({_WORDS.format('text')}) as token from eval_items where item_id % 20 = 0),
