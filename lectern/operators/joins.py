@@ -10,31 +10,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.ordered import blocked, running
+from lectern.session import cut
 
 
 def overlap_ms(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     return F.greatest(F.lit(0), F.least(a_end, b_end) - F.greatest(a_start, b_start))
 
 
+#: An interval over more buckets than this is long: it meets its key's rows as a whole.
+LONG = 4096
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, key: str, bucket_ms: int = 60_000) -> DataFrame:
     """(key, left columns l_*, right columns r_*, overlap_ms): pairs of half-open
     intervals of one key that overlap. Both sides have key, start_ms, end_ms.
 
+    Intervals meet in the buckets of time they reach into. One over more than
+    ``LONG`` buckets - a live channel, or a wrong end - would be in all of them;
+    it overlaps most of its key's rows anyway, so it is joined by the key alone.
+    Whether there are such rows is looked up before; where there are none, as
+    is usual, no row is shuffled for it.
+
     Touching intervals don't overlap. Intervals with a null bound or an end not
     after the start, and null keys: no pair. Repeated rows pair as often as they come.
     """
 
-    def spread(df: DataFrame, p: str) -> DataFrame:
+    def named(df: DataFrame, p: str) -> DataFrame:
         df = df.where("start_ms < end_ms").where(F.col(key).isNotNull())
         named = df.select(F.col(key).alias(key if p == "l" else f"__{key}"), *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != key])
-        cells = F.sequence(F.floor(F.col(f"{p}_start_ms") / bucket_ms), F.floor((F.col(f"{p}_end_ms") - 1) / bucket_ms))
-        return named.withColumn(f"__{p}", F.explode(cells))
+        cells = [F.floor(F.col(f"{p}_start_ms") / bucket_ms), F.floor((F.col(f"{p}_end_ms") - 1) / bucket_ms)]
+        return named.withColumn("__from", cells[0]).withColumn("__to", cells[1])
 
-    a, b = spread(left, "l"), spread(right, "r")
-    meet = (F.col(key) == F.col(f"__{key}")) & (F.col("__l") == F.col("__r")) & (F.col("l_start_ms") < F.col("r_end_ms")) & (F.col("r_start_ms") < F.col("l_end_ms"))
+    def spread(df: DataFrame, p: str) -> DataFrame:
+        return df.where(~is_long).withColumn(f"__{p}", F.explode(F.sequence("__from", "__to"))).drop("__from", "__to")
+
+    is_long = F.col("__to") - F.col("__from") > LONG
+    a, b = named(left, "l"), named(right, "r")
+    meet = (F.col(key) == F.col(f"__{key}")) & (F.col("l_start_ms") < F.col("r_end_ms")) & (F.col("r_start_ms") < F.col("l_end_ms"))
     once = F.floor(F.greatest("l_start_ms", "r_start_ms") / bucket_ms) == F.col("__l")
-    both = a.join(b, meet & once)
-    return both.withColumn("overlap_ms", overlap_ms(F.col("l_start_ms"), F.col("l_end_ms"), F.col("r_start_ms"), F.col("r_end_ms"))).drop("__l", "__r", f"__{key}")
+    both = spread(a, "l").join(spread(b, "r"), meet & (F.col("__l") == F.col("__r")) & once).drop("__l", "__r", f"__{key}")
+    if _any_long(a, b, is_long):
+        plain = lambda df: df.drop("__from", "__to")
+        both = both.unionByName(plain(a.where(is_long)).join(plain(b), meet).drop(f"__{key}")).unionByName(plain(a.where(~is_long)).join(plain(b.where(is_long)), meet).drop(f"__{key}"))
+    return both.withColumn("overlap_ms", overlap_ms(F.col("l_start_ms"), F.col("l_end_ms"), F.col("r_start_ms"), F.col("r_end_ms")))
+
+
+def _any_long(a: DataFrame, b: DataFrame, is_long: Column) -> bool:
+    """Whether either side has a long interval; one look at the two times of each row."""
+    return not a.where(is_long).select("__from").unionByName(b.where(is_long).select("__from")).isEmpty()
 
 
 def best_speaker(segments: DataFrame, turns: DataFrame, id_col: str, key: str = "job_id", least_ratio: float = 0.5) -> DataFrame:
@@ -63,7 +86,8 @@ def nearest_interval(left: DataFrame, right: DataFrame, id_col: str, label: str,
     start after can be nearest; both come from running minima over one ordered
     union, in blocks, without any pairs.
     """
-    good = right.where(F.col(key).isNotNull() & (F.col("start_ms") < F.col("end_ms")))
+    left = cut(left.select(key, id_col, "start_ms", "end_ms"))  # read three times
+    good = cut(right.select(key, label, "start_ms", "end_ms").where(F.col(key).isNotNull() & (F.col("start_ms") < F.col("end_ms"))))
     over = overlap_pairs(left, right, key).groupBy(F.col(f"l_{id_col}").alias(id_col)).agg(F.min(F.struct(F.lit(0).cast("long").alias("d"), F.col("r_start_ms").alias("s"), F.col(f"r_{label}").alias("x"))).alias("best"))
     none = F.lit(None)
 

@@ -6,18 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import query_grams
+from lectern.session import cut
+
+
+#: Query tokens (a row for each query and token) that are broadcast at most; more are joined by shuffle.
+BROADCAST_TOKENS = 200_000
+
+
+def _small(asked: DataFrame) -> tuple[DataFrame, bool]:
+    """The queries' tokens, cut, and whether they may be broadcast: then a token that a
+    third of all documents hold doesn't bring them together in one task."""
+    asked = cut(asked)
+    return asked, asked.count() <= BROADCAST_TOKENS
+
+
+def _with_tokens(rows: DataFrame, tokens: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    return rows.join(F.broadcast(tokens) if small else tokens, "token", how)
 
 
 def words(text):
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame | None = None) -> DataFrame:
+def postings(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame | None = None, small: bool = False) -> DataFrame:
     """(id, token, tf, dl). With ``wanted`` (token) only these tokens are kept, before the shuffle."""
     rows = docs.select(id_col, words(F.col(text_col)).alias("w")).withColumn("dl", F.size("w").cast("long"))
     rows = rows.select(id_col, "dl", F.explode("w").alias("token"))
     if wanted is not None:
-        rows = rows.join(wanted.select("token").distinct(), "token", "left_semi")
+        rows = _with_tokens(rows, wanted.select("token").distinct(), small, "left_semi")
     return rows.groupBy(id_col, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -30,14 +46,15 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int
 
     ``queries``: query_id, text. Only postings of the queries' tokens are shuffled.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("token"))
+    asked, small = _small(queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("token")))
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(words(F.coalesce(F.col(text_col), F.lit(""))))).alias("mean")).first()
     n, mean = stats["n"], stats["mean"] or 1.0
-    post = postings(docs, id_col, text_col, asked)
+    post = cut(postings(docs, id_col, text_col, asked, small))  # of the queries' tokens alone; read twice
     df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
-    hits = post.join(df, "token").join(asked, "token").groupBy("query_id", id_col).agg(F.round(F.sum(gain), 6).alias("score"))
+    asked = asked.join(df, "token")
+    hits = _with_tokens(post, asked, small).groupBy("query_id", id_col).agg(F.round(F.sum(gain), 6).alias("score"))
     return _best(hits, id_col, k)
 
 
@@ -53,13 +70,13 @@ def gram_search(entries: DataFrame, queries: DataFrame, k: int = 8, boost: float
     confidence. N-grams of entries are kept only where a query has them; that
     list is small, and joined by equality.
     """
-    asked = queries.select("query_id", F.explode(query_grams(F.col("text"))).alias("token"))
+    asked, small = _small(queries.select("query_id", F.explode(query_grams(F.col("text"))).alias("token")))
     n = entries.count()
     grams = lambda c: F.explode(query_grams(F.coalesce(F.col(c), F.lit(""))))
     rows = entries.select("id", F.lit(True).alias("in_title"), grams("title").alias("token")).unionByName(entries.select("id", F.lit(False).alias("in_title"), grams("body").alias("token")))
-    held = rows.join(asked.select("token").distinct(), "token", "left_semi").groupBy("id", "token").agg(F.max("in_title").alias("in_title"))
+    held = cut(_with_tokens(rows, asked.select("token").distinct(), small, "left_semi").groupBy("id", "token").agg(F.max("in_title").alias("in_title")))
     df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     gain = F.length("token") * (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1) * F.when(F.col("in_title"), boost).otherwise(1.0)
-    hits = held.join(df, "token").join(asked, "token").groupBy("query_id", "id").agg(F.sum(gain).alias("s"))
+    hits = _with_tokens(held, asked.join(df, "token"), small).groupBy("query_id", "id").agg(F.sum(gain).alias("s"))
     hits = hits.join(entries.select("id", F.coalesce("confidence", F.lit(0.0)).alias("c")), "id").select("query_id", "id", F.round(F.col("s") + F.col("c"), 6).alias("score"))
     return _best(hits, "id", k)

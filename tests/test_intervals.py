@@ -86,3 +86,18 @@ def test_runs(spark, width):
             want.add(("k", k, rows[k][2], m, m - k + 1))
         k = m + 1
     assert got == want
+
+
+@pytest.mark.parametrize("long_", [4096, 3])
+def test_long_intervals_meet_once(spark, monkeypatch, long_):
+    """A live channel and a wrong end among short rows, against brute force; nothing is laid out bucket by bucket for them."""
+    from lectern.operators import joins
+
+    monkeypatch.setattr(joins, "LONG", long_)
+    rnd = random.Random(8)
+    make = lambda n: [(rnd.choice("ab"), k, *(lambda a: (a, a + rnd.choice([1, 50, 400, 5000])))(rnd.randint(0, 9000))) for k in range(n)]
+    left, right = make(60) + [("a", 900, 100, 9_000_000_000_000_000_000 // 1000), ("a", 901, 5, 5)], make(60) + [("a", 902, 0, 2_000_000_000_000), (None, 903, 0, 9)]
+    schema = "job_id string, k long, start_ms long, end_ms long"
+    got = sorted((r.l_k, r.r_k, r.overlap_ms) for r in joins.overlap_pairs(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "job_id", 100).collect())
+    want = sorted((i, j, min(b, e) - max(a, c)) for x, i, a, b in left for y, j, c, e in right if x == y and a < e and c < b and a < b and c < e)
+    assert got == want
