@@ -297,6 +297,14 @@ _GRAMS = """unnest(list_concat(flatten(list_transform(regexp_extract_all({0}, '[
 _BOX = """with b as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as id, l_partkey % 640 as x, l_suppkey % 360 as y, 20 + l_linenumber * 30 as w, 20 + cast(floor(l_quantity) as int) * 4 as h from lineitem),
 p as (select a.l_orderkey, a.id, b.id as i, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) as o, a.w * a.h + b.w * b.h as s from b a left join b on a.l_orderkey = b.l_orderkey and a.id <> b.id),
 m as (select *, case when i is not null then o::double / (s - o) end as v from p)"""
+_I = "(greatest(0, least(rk.x + rk.w, q.x + q.w) - greatest(rk.x, q.x)) * greatest(0, least(rk.y + rk.h, q.y + q.h) - greatest(rk.y, q.y)))"
+_NMS = f"{_I}::double / greatest(1e-9, rk.w * rk.h + q.w * q.h - {_I})"
+_GREEDY = """with recursive tn as (select distinct turn_id, job_id, start_ms, end_ms, speaker_id, source from speaker_turns where end_ms > start_ms and speaker_id is not null),
+sums as (select l.job_id, r.speaker_id as hyp, l.speaker_id as ref, sum(least(l.end_ms, r.end_ms) - greatest(l.start_ms, r.start_ms)) as ms from tn l join tn r on l.job_id = r.job_id and l.source = 'wespeaker' and r.source = 'campplus' and l.start_ms < r.end_ms and r.start_ms < l.end_ms group by 1, 2, 3),
+rk as (select *, row_number() over (partition by job_id order by ms desc, hyp desc, ref desc) as k from sums),
+g as (select job_id, 0::bigint as k, ''::varchar as hyp, ''::varchar as ref, ['']::varchar[] as hs, ['']::varchar[] as rs, false as took from (select distinct job_id from sums)
+union all select n.job_id, n.k, n.hyp, n.ref, case when ok then list_append(hs, n.hyp) else hs end, case when ok then list_append(rs, n.ref) else rs end, ok from (
+ select rk.job_id, rk.k, rk.hyp, rk.ref, hs, rs, not list_contains(hs, rk.hyp) and not list_contains(rs, rk.ref) as ok from g join rk on rk.job_id = g.job_id and rk.k = g.k + 1) n)"""
 _STOP = "('如何', '应该', '分别', '方式', '时候', '怎么', '什么', '进行')"
 
 SQL = {
@@ -369,6 +377,18 @@ select id, case when e is not null then sha256('[' || coalesce(array_to_string(l
     "box_best_iou": f"""{_BOX} select l_orderkey, id, cast(count(i) as bigint) as n_met, coalesce(max(v), 0.0::double) as best_iou, coalesce(max(v), 0.0) >= 0.5 as hit from m group by 1, 2""",
     "box_iou_scores": f"""{_BOX}, o as (select l_orderkey, id, coalesce(max(v), 0.0::double) as v from m group by 1, 2)
 select l_orderkey, count(*) as n, avg(v) as mean_iou, avg(case when v >= 0.5 then 1.0::double else 0.0 end) as top_k_hit_rate from o group by 1""",
+    "greedy_speaker_map": f"{_GREEDY} select job_id, hyp, ref from g where took",
+    "diarization_error": f"""{_GREEDY}, mp as (select job_id, hyp, ref from g where took), oa as (select l.turn_id as a, r.turn_id as b, least(l.end_ms, r.end_ms) - greatest(l.start_ms, r.start_ms) as ms from tn l join tn r on l.job_id = r.job_id and l.source = 'wespeaker' and r.source = 'campplus' and l.start_ms < r.end_ms and r.start_ms < l.end_ms),
+x as (select job_id, sum(end_ms - start_ms) as ref_ms, sum(greatest(0, end_ms - start_ms - coalesce(ms, 0))) as missed_ms from tn left join (select a, sum(ms) as ms from oa group by 1) on a = turn_id where source = 'wespeaker' group by 1),
+y as (select job_id, sum(greatest(0, end_ms - start_ms - coalesce(ms, 0))) as fa from tn left join (select b, sum(ms) as ms from oa group by 1) on b = turn_id where source = 'campplus' group by 1),
+w as (select s.job_id, sum(case when mp.hyp is null then s.ms else 0 end) as se from sums s left join mp on mp.job_id = s.job_id and mp.hyp = s.hyp and mp.ref = s.ref group by 1),
+z as (select job_id, cast(coalesce(ref_ms, 0) as bigint) as ref_ms, cast(coalesce(missed_ms, 0) as bigint) as missed_ms, cast(coalesce(se, 0) as bigint) as speaker_error_ms, cast(coalesce(fa, 0) as bigint) as false_alarm_ms from x full join y using (job_id) left join w using (job_id))
+select *, case when ref_ms = 0 then 1.0 else (missed_ms + speaker_error_ms + false_alarm_ms)::double / ref_ms end as der from z""",
+    "nms_boxes": f"""with recursive {_BOX[5:].split(", p as", 1)[0]}, rk as (select *, row_number() over (partition by l_orderkey order by -(w * h), id) as k from b),
+g as (select l_orderkey, 0::bigint as k, 0::bigint as id, [{{'x': 0::bigint, 'y': 0::bigint, 'w': 0::bigint, 'h': 0::bigint}}][1:0] as kept, false as took from (select distinct l_orderkey from b)
+union all select n.l_orderkey, n.k, n.id, case when n.ok then list_append(kept, {{'x': n.x::bigint, 'y': n.y::bigint, 'w': n.w::bigint, 'h': n.h::bigint}}) else kept end, n.ok from (
+ select rk.l_orderkey, rk.k, rk.id, rk.x, rk.y, rk.w, rk.h, kept, len(kept) < 24 and len(list_filter(kept, lambda q: {_NMS} >= 0.55)) = 0 as ok from g join rk on rk.l_orderkey = g.l_orderkey and rk.k = g.k + 1) n)
+select l_orderkey, id from g where took""",
     "sync_plan": """with k as (select doc_id, text, lag(text) over (partition by title, course_id, case when title is null then doc_id end order by created_at, doc_id) as old from documents where text is not null)
 select doc_id, case when old is null then 'create' when old = text then 'skip' else 'update' end as action from k""",
     "bm25_search": f"""with q as (select distinct item_id as query_id, unnest({_WORDS.format('text')}) as token from eval_items where item_id % 20 = 0),

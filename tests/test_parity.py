@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lectern.plans import alignment, cleaning, exports, problems, regions, reports, texts, timeline
+from lectern.plans import alignment, checks, cleaning, exports, problems, regions, reports, texts, timeline
 
 SF = os.environ.get("PARITY_SF_DIR", "/root/testdata/sf0.001")
-CORE = {name for module in (problems, texts, timeline, exports, regions, cleaning, reports, alignment) for name in module.SQL}
+CORE = {name for module in (problems, texts, timeline, exports, regions, cleaning, reports, alignment, checks) for name in module.SQL}
 
 
 @pytest.fixture(scope="module")
