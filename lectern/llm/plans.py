@@ -150,9 +150,8 @@ _LABEL = LABEL.replace("-(?![0-9])", "-(?:[^0-9]|$)")
 _SOUND = "\\[[^\\[\\]0-9@]{1,40}\\]|\\([^()0-9@]{1,40}\\)|【[^【】0-9@]{1,40}】|<[^<>0-9@]{1,40}>|♪[^♪]{0,40}♪|\\*[^*\\n]{1,40}\\*"
 _FILL = "嗯|呃|额|啊|哦|噢|唔|诶|欸|那+个|就是说|\\b(?:u+h+m*|u+m+|e+r+m*|h+m+|m+h*m+|a+h+|o+h+|you know|i mean)\\b"
 
-SQL = {
-    "p2_found": f"""
-with k as (select distinct on (speech_id) speech_id, job_id, start_ms, {_plain("coalesce(text, '')")} as t, lower(trim(translate(speaker_id, {_quoted(WIDE)}, {_quoted(NARROW)}))) as s
+_SAID = f"""
+with k as (select distinct on (speech_id) speech_id, job_id, start_ms, end_ms, {_plain("coalesce(text, '')")} as t, lower(trim(translate(speaker_id, {_quoted(WIDE)}, {_quoted(NARROW)}))) as s
   from speech_segments where job_id is not null and start_ms is not null),
 r as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{_MARK}', ' ', 'g'), '^\\s*{_LABEL}', ' '), '{_SOUND}', ' ', 'g'), '{_FILL}', ' ', 'g') as rest,
   nullif(regexp_extract(s, '^[\\[(<【]?\\s*{SPEAKER_WORDS}[\\s_\\-#.]*0*([0-9]+)\\s*[\\])>】]?\\s*:?$', 1), '') as n,
@@ -160,7 +159,32 @@ r as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '
 l as (select *, coalesce('speaker_' || coalesce(n, h1, h2), 'unknown') as speaker from r where regexp_matches(rest, '[\\p{{L}}\\p{{N}}]')),
 f as (select *, case when lag(speaker) over w = speaker then 0 else 1 end as cut from l window w as (partition by job_id order by start_ms, speech_id)),
 g as (select *, sum(cut) over (partition by job_id order by start_ms, speech_id rows unbounded preceding) as grp from f)
+"""
+
+SQL = {
+    "p2_found": f"""{_SAID}
 select job_id, min(speaker) as speaker, arg_min(speech_id, (start_ms, speech_id)) as first_speech_id, arg_max(speech_id, (start_ms, speech_id)) as last_speech_id from g group by job_id, grp
+""",
+    # the tables' clocks don't fall, so times are those of the segments; an end that can't be is the start
+    "p2_turns": f"""{_SAID}
+select job_id, min(speaker) as speaker, arg_min(speech_id, (start_ms, speech_id)) as first_speech_id, arg_max(speech_id, (start_ms, speech_id)) as last_speech_id, min(start_ms) as start_ms,
+  arg_max(case when end_ms is null or end_ms < start_ms or end_ms > start_ms + 600000 then start_ms else end_ms end, (start_ms, speech_id)) as end_ms, count(*) as n_segments from g group by job_id, grp
+""",
+    # characters of a pair become one byte each, as DuckDB's levenshtein counts bytes
+    "p6_found": f"""
+with a as (select job_id, timestamp_ms as ts, min(case when not ({_blank("ocr_text")}) then {_bare("ocr_text")} end) as t from frames where job_id is not null and timestamp_ms is not null group by 1, 2),
+b as (select *, lag(t) over (partition by job_id order by ts) as p from a),
+c as (select *, list_distinct(str_split(t || p, '')) as x from b),
+d as (select job_id, ts, t, p, case when t is null or p is null then false when t = p then true when abs(length(t) - length(p)) > 0.15 * greatest(length(t), length(p)) then false
+  else levenshtein(array_to_string(list_transform(str_split(t, ''), lambda c: chr(cast(list_position(x, c) as int))), ''), array_to_string(list_transform(str_split(p, ''), lambda c: chr(cast(list_position(x, c) as int))), '')) <= 0.15 * greatest(length(t), length(p)) end as same from c),
+e as (select *, sum(case when same then 0 else 1 end) over (partition by job_id order by ts rows unbounded preceding) as grp from d)
+select job_id, min(ts) as first_ms, max(ts) as last_ms, count(*) as n_frames from e where t is not null group by job_id, grp having count(*) >= 2
+""",
+    "p3_entries": f"""
+with k as (select distinct id, {_bare("coalesce(title, '')")} as t,
+  array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(body, '\\r\\n|[\\n\\r\\x0B\\x0C\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {_bare("x")}), lambda x: x <> '')), chr(10)) as b
+  from knowledge_entries where body is not null and not ({_blank("body")}))
+select min(id) as id, count(*) as n_copies from k group by t, b
 """,
     "p3_found": f"""
 with k as (select distinct id, {_bare("coalesce(title, '')")} as t,
