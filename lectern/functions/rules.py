@@ -26,13 +26,17 @@ def rewritten(text: Column) -> tuple[Column, Column]:
 
     A rule of its own kind is noted where it changes the text; the text before
     each rule is looked at, so the order matters as it does for the text itself.
+    A text in which no pattern stands is left by all of them, which one look tells.
     """
+    any_ = text.rlike("|".join(p for p, _ in REWRITES))
     kinds: dict[str, Column] = {DISFLUENCY: F.lit(False), TYPO: F.lit(False)}
     now = text
     for pattern, to in REWRITES:
         kind = TYPO if pattern in TYPOS else DISFLUENCY
         kinds[kind] = kinds[kind] | now.rlike(pattern)
         now = F.regexp_replace(now, pattern, to)
+    now = F.when(any_, now).otherwise(text)
+    kinds = {k: any_ & c for k, c in kinds.items()}
     marked = full_width_marks(now)
     order = [F.when(kinds[DISFLUENCY], DISFLUENCY), F.when(kinds[TYPO], TYPO), F.when(marked != now, PUNCTUATION)]
     return marked, F.array_compact(F.array(*order))

@@ -61,10 +61,16 @@ def ocr_boxes(raw: Column) -> Column:
     Known are a page (rec_texts, rec_scores, rec_polys or dt_polys), a list of pages, either in ``res``, a list in a list,
     and the classic [[poly, [text, score]], ...] as a page or a list of pages. Null, [] and {} have no boxes.
     """
-    none = F.array().cast(f"array<{BOX}>")
     text = F.regexp_replace(F.trim(raw), r"^\s+|\s+$", "")
-    for _ in range(2):
-        text = F.coalesce(F.get_json_object(text, "$.res"), text)
+    # each step is bound to a name, so that it is worked out once for all shapes that are tried on it
+    bind = lambda value, then: F.transform(F.array(value), then)[0]
+    inner = lambda t: F.coalesce(F.get_json_object(t, "$.res"), t)
+    return bind(text, lambda t: bind(inner(t), lambda u: bind(inner(u), _boxes_of)))
+
+
+def _boxes_of(text: Column) -> Column:
+    """The boxes of a payload without its wrapping; see :func:`ocr_boxes`."""
+    none = F.array().cast(f"array<{BOX}>")
 
     def of_page(p: Column) -> Column:
         polys = F.when(F.size(F.coalesce(p["rec_polys"], F.array())) > 0, p["rec_polys"]).otherwise(p["dt_polys"])
@@ -85,7 +91,7 @@ def ocr_boxes(raw: Column) -> Column:
     items = lambda c: F.transform(F.filter(F.from_json(c, "array<array<string>>"), lambda x: x.isNotNull()), classic)
     a_page = F.get_json_object(text, "$.rec_texts").isNotNull() | F.get_json_object(text, "$.dt_polys").isNotNull()
     return (
-        F.when(raw.isNull() | start.isin("", "null", "[]", "{}", "[[]]", "[null]"), none)
+        F.when(text.isNull() | start.isin("", "null", "[]", "{}", "[[]]", "[null]"), none)
         .when(a_page, of_page(F.from_json(text, f"struct<{PAGE}>")))
         .when(start.startswith("[{") & start.rlike(r'"(rec_texts|dt_polys)":'), pages(text))
         .when(start.startswith("[[{") & start.rlike(r'"(rec_texts|dt_polys)":'), pages(inner[0]))
