@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +73,42 @@ def near_line_dedup(lines: DataFrame, ratio: float = 0.9, least: int = 6) -> Dat
 
     firsts = first_lines(lines).select("doc_id", "line_no", "key")
     return firsts.groupBy("doc_id").applyInPandas(keep, "doc_id long, line_no int")
+
+
+def combined_lines(boards: DataFrame, ratio: float = 0.92, least: int = 6) -> DataFrame:
+    """(board_id, pos, line_no, line): a board's lines without repeats, exact by key or nearly so.
+
+    A repeat takes the place of the line that was there if its confidence is
+    higher; no confidence counts as 0. ``line`` is the correction, else the
+    text, trimmed; lines without letters and digits are left out. Input:
+    board_id, text_lines. The lines of one board are compared with each other,
+    behind upper bounds by length and by characters; no rows are grouped.
+    """
+    trimmed = F.transform("text_lines", lambda x: F.trim(F.coalesce(F.nullif(x["corrected_text"], F.lit("")), x["text"], F.lit(""))))
+    conf = F.transform("text_lines", lambda x: F.coalesce(F.nanvl(x["confidence"], F.lit(0.0)), F.lit(0.0)).cast("double"))
+    rows = boards.where("board_id is not null and size(text_lines) > 0").select("board_id", trimmed.alias("lines"), F.transform(trimmed, text_key).alias("keys"), conf.alias("conf"))
+
+    def alike(a: str, b: str) -> bool:
+        if a == b:
+            return True
+        if min(len(a), len(b)) < least or 2 * min(len(a), len(b)) < ratio * (len(a) + len(b)):
+            return False
+        m = difflib.SequenceMatcher(None, a, b, False)
+        return m.quick_ratio() >= ratio and m.ratio() >= ratio
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for board, lines, keys, confs in zip(*(c.to_pylist() for c in batch.columns)):
+                kept: list[int] = []
+                for no, key in enumerate(keys):
+                    at = next((p for p, k in enumerate(kept) if alike(key, keys[k])), None) if key else -1
+                    if at is None:
+                        kept.append(no)
+                    elif at >= 0 and confs[no] > confs[kept[at]]:
+                        kept[at] = no
+                out += [(board, p, no, lines[no]) for p, no in enumerate(kept)]
+            cols = list(zip(*out)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["board_id", "pos", "line_no", "line"])
+
+    return rows.mapInArrow(run, "board_id long, pos int, line_no int, line string")

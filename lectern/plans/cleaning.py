@@ -75,6 +75,11 @@ def line_accuracy(s, d):
     return rows.select("board_id", F.col("line_no").cast("long").alias("line_no"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - rate)).alias("accuracy"))
 
 
+def combined_lines(s, d):
+    """Lines of each board without near repeats, the surer reading of each."""
+    return lines.combined_lines(table(s, d, "board_segments", "board_id", "text_lines").dropDuplicates(["board_id"]))
+
+
 def short_times(s, d):
     return r.segments(s, d).select("seg_id", F.substring_index(t.clock(F.col("start_ms")), ".", 1).alias("at"), F.bround(F.col("start_ms") / 1000.0 * 1000).cast("long").alias("ms"))
 
@@ -214,7 +219,7 @@ def order_checks(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_rewrites, rewrite_metrics, label_speakers, payload_confidences, fenced_objects, secret_free, entry_files, joined_words, metric_texts, line_accuracy, short_times, cache_keys, unique_evidence, asr_round_trip,
+        rule_rewrites, rewrite_metrics, label_speakers, payload_confidences, fenced_objects, secret_free, entry_files, joined_words, metric_texts, line_accuracy, combined_lines, short_times, cache_keys, unique_evidence, asr_round_trip,
         diarization_round_trip, frame_rates, video_paths, source_ids, positional_zip, preserved_checks, case_checks, case_segments, review_targets, missing_samples, order_checks,
     )
 }
