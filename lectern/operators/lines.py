@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,40 +42,63 @@ def srt_cues(speech: DataFrame, width: int = 900_000) -> DataFrame:
     return rows.select("job_id", "cue_no", F.concat_ws("\n", F.col("cue_no").cast("string"), times, F.concat(F.col("speaker"), F.lit(": "), F.coalesce("text", F.lit("")))).alias("cue"))
 
 
-def near_line_dedup(lines: DataFrame, ratio: float = 0.9, least: int = 6) -> DataFrame:
-    """(doc_id, line_no): lines kept after leaving out repeats, exact by key or nearly so.
+#: Bins of the character counts that bound how much two lines can share.
+BINS = 64
+
 
-    Greedy in the order of lines: a line of at least ``least`` characters is left
-    out when its ratio to a kept one reaches ``ratio``; upper bounds by length and
-    by characters reject most pairs before the comparison. One document is one group.
+def kept_lines(keys: list[str], ratio: float = 0.9, least: int = 6) -> list[int]:
+    """Positions of the keys that stay, in order: repeats are left out, exact or, of at least ``least`` characters, at
+    ``ratio`` or more to one that stayed. Empty keys are left out.
+
+    Two lines share at most as many characters as their counts in bins do; this
+    bound is worked out for all kept lines at once, and only those that pass it are compared.
     """
+    out, seen = [], set()
+    counts, sizes, kept = np.zeros((64, BINS), np.int32), np.zeros(64, np.int64), []
+    for no, key in enumerate(keys):
+        if not key or key in seen:
+            continue
+        if len(key) >= least:
+            own = np.bincount(np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32) % BINS, minlength=BINS)
+            n = len(kept)
+            most = 2 * np.minimum(counts[:n], own).sum(1)
+            if any(difflib.SequenceMatcher(None, key, kept[k], False).ratio() >= ratio for k in np.flatnonzero(most >= ratio * (sizes[:n] + len(key)) - 1e-9).tolist()):
+                continue
+            if n == len(sizes):
+                counts, sizes = np.concatenate([counts, np.zeros_like(counts)]), np.concatenate([sizes, np.zeros_like(sizes)])
+            counts[n], sizes[n] = own, len(key)
+            kept.append(key)
+        seen.add(key)
+        out.append(no)
+    return out
+
+
+def near_line_dedup(lines: DataFrame, ratio: float = 0.9, least: int = 6) -> DataFrame:
+    """(doc_id, line_no): lines kept after leaving out repeats, exact by key or nearly so, greedy in their order
+    (:func:`kept_lines`). For lines that are rows; where documents are at hand :func:`document_lines` groups nothing."""
 
     def keep(part: pd.DataFrame) -> pd.DataFrame:
-        out, seen, kept = [], set(), []
-        for no, key in part.sort_values("line_no")[["line_no", "key"]].itertuples(index=False):
-            if key in seen:
-                continue
-            near = False
-            if len(key) >= least:
-                for old in kept:
-                    if 2 * min(len(key), len(old)) < ratio * (len(key) + len(old)):
-                        continue
-                    m = difflib.SequenceMatcher(None, key, old, False)
-                    if m.quick_ratio() >= ratio and m.ratio() >= ratio:
-                        near = True
-                        break
-            if near:
-                continue
-            seen.add(key)
-            if len(key) >= least:
-                kept.append(key)
-            out.append(no)
-        return pd.DataFrame({"doc_id": part["doc_id"].iloc[0], "line_no": pd.Series(out, dtype="int32")})
+        part = part.sort_values("line_no")
+        at = kept_lines(part["key"].tolist(), ratio, least)
+        return pd.DataFrame({"doc_id": part["doc_id"].iloc[0], "line_no": part["line_no"].iloc[at].astype("int32")})
 
     firsts = first_lines(lines).select("doc_id", "line_no", "key")
     return firsts.groupBy("doc_id").applyInPandas(keep, "doc_id long, line_no int")
 
 
+def document_lines(docs: DataFrame, ratio: float = 0.9, least: int = 6) -> DataFrame:
+    """(doc_id, line_no): :func:`near_line_dedup` of each document (doc_id, text), within its own row and without a shuffle."""
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.transform(F.split("text", "\n"), text_key).alias("keys"))
+
+    def run(batches):
+        for batch in batches:
+            found = [kept_lines(keys, ratio, least) for keys in batch.column(1).to_pylist()]
+            ids = np.repeat(np.array(batch.column(0), np.int64), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([no for x in found for no in x], pa.int32())], ["doc_id", "line_no"])
+
+    return rows.mapInArrow(run, "doc_id long, line_no int")
+
+
 def combined_lines(boards: DataFrame, ratio: float = 0.92, least: int = 6) -> DataFrame:
     """(board_id, pos, line_no, line): a board's lines without repeats, exact by key or nearly so.
 

@@ -266,7 +266,7 @@ def evidence_hash(s, d):
 
 
 def line_dedup_fuzzy(s, d):
-    return lines.near_line_dedup(lines.doc_lines(table(s, d, "documents", "doc_id", "text")))
+    return lines.document_lines(table(s, d, "documents", "doc_id", "text"))
 
 
 def greedy_speaker_map(s, d):

@@ -82,3 +82,26 @@ def test_combined_lines(spark):
             want[board] = [o[:2] for o in out]
     assert got == want
     assert lines.combined_lines(df.where("false")).count() == 0
+
+
+def test_kept_lines_like_brute_force(spark):
+    rnd = random.Random(9)
+    base = ["the careful hinge of it", "一行不太短的文字在这里", "short", "another line entirely here"]
+
+    def noisy(t):
+        t = list(t)
+        for _ in range(rnd.randint(0, 3)):
+            t[rnd.randrange(len(t))] = rnd.choice("abc字")
+        return "".join(t)
+
+    docs = [(k, "\n".join(noisy(rnd.choice(base)) if rnd.random() < 0.9 else rnd.choice(["", "…", "!"]) for _ in range(rnd.randint(0, 120)))) for k in range(12)] + [(12, None), (13, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = set()
+    for i, text in docs:
+        kept = []
+        for no, line in enumerate((text or "").split("\n")):
+            key = re.sub(r"[\W_]+", "", line).casefold()
+            if key and not any(key == old or len(key) >= 6 and len(old) >= 6 and difflib.SequenceMatcher(None, key, old, autojunk=False).ratio() >= 0.9 for old in kept):
+                kept.append(key)
+                want.add((i, no))
+    assert {tuple(r) for r in lines.document_lines(df).collect()} == {tuple(r) for r in lines.near_line_dedup(lines.doc_lines(df)).collect()} == want
