@@ -3,7 +3,7 @@
 Running headers and footers, page numbers and words cut at line ends are told
 by classifiers over lines and pairs of lines; misread characters by candidates
 that character q-grams retrieve from the corpus's own words and contexts, of
-which boosted trees choose.
+which boosted trees choose. All of them are fitted on all boards.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import functools
 import math
 import re
 import unicodedata
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -21,13 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.boost import Boosted
+from lectern.llm.boost import Boosted, fit_blocks
 from lectern.session import cut, stored
 
-#: Boards from which the line classifiers are fitted, corrected lines and their candidates from which the ranking is.
-SAMPLE_BOARDS = 3000
-SAMPLE_LINES = 20_000
-SAMPLE_CANDIDATES = 100_000
+#: Rows of a partition from which the ranking is fitted; the result doesn't depend on it.
+FIT_ROWS = 250_000
 
 #: Changes of characters by which a word may differ from what it is read for.
 EDITS = 3
@@ -45,7 +42,7 @@ def line_key(text: str) -> str:
 
 def edges(n: int) -> list[int]:
     """Positions at which headers and footers stand: the first two and the last two lines."""
-    return sorted({0, 1, n - 2, n - 1} & set(range(n)))
+    return sorted(k for k in {0, 1, n - 2, n - 1} if 0 <= k < n)
 
 
 def page_number(text: str) -> tuple[int, bool] | None:
@@ -68,30 +65,10 @@ def pair_features(a: str, b: str | None) -> list[float]:
 
 
 class Lines:
-    """The fitted classifiers of lines and of line pairs."""
+    """The fitted classifiers of lines and of line pairs; see :func:`fit_lines`."""
 
-    def __init__(self, boards: list[tuple[list[str], dict]]):
-        x, y, px, py = [], [], [], []
-        whole = Counter(w for lines, _ in boards for t in lines for w in _inner_words(t))
-        for lines, shares in boards:
-            for k, t in enumerate(lines):
-                share, count = shares.get(line_key(t), (0.0, 1))
-                if page_number(t):
-                    continue
-                # what repeats at the edges is furniture, what stands inside is not; the rest has no label
-                inside = k not in edges(len(lines))
-                # two sentences that end alike can repeat by chance in a small job
-                chance = count <= 2 and t.rstrip()[-1:] in "。！？.!?"
-                if inside or share >= 0.3 or share < 0.02 or chance:
-                    x.append(line_features(lines, k, shares))
-                    y.append(float(not inside and share >= 0.3 and not chance))
-                if k + 1 < len(lines):
-                    a, b = _last_piece(t), _first_piece(lines[k + 1])
-                    px.append(pair_features(t, lines[k + 1]))
-                    # cut words are known whole from the insides of other lines
-                    py.append(float(px[-1][0] > 0 and bool(a and b) and whole[(a + b).lower()] > max(whole[a.lower()], whole[b.lower()]) / 4))
-        self.furniture = Boosted(30).fit(np.array(x).reshape(-1, 8), np.array(y))
-        self.joins = Boosted(30).fit(np.array(px).reshape(-1, 6), np.array(py))
+    def __init__(self, furniture: Boosted, joins: Boosted):
+        self.furniture, self.joins = furniture, joins
 
     def kinds(self, boards: list[tuple[list[str], dict[str, tuple[float, int]], float | None]]) -> list[tuple[list[str | None], list[bool]]]:
         """For each board (lines, shares, usual page number): header, page_number or None
@@ -248,7 +225,7 @@ def board_rows(boards: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(jobs, pa.string()), pa.array(key, pa.string()), pa.array(page, pa.int64())], ["job_id", "key", "page"])
 
     marks = rows.select("job_id", "lines").mapInArrow(keys, "job_id string, key string, page long")
-    counted = marks.groupBy("job_id", "key").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("page", 0.5).cast("double").alias("page"))
+    counted = marks.groupBy("job_id", "key").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.5) within group (order by page)").cast("double").alias("page"))
     total = counted.groupBy("job_id").agg(F.max(F.when(F.col("key") == "", F.col("n"))).alias("boards"), F.max(F.when(F.col("key").isNull(), F.col("page"))).alias("usual"))
     # at most 4 / 0.05 keys of a job can stand on a twentieth of its boards
     often = counted.join(total, "job_id").where("key <> '' and n >= 2 and n >= 0.05 * boards").groupBy("job_id").agg(F.collect_list(F.struct("key", (F.col("n") / F.col("boards")).alias("share"), "n")).alias("shares"))
@@ -258,10 +235,65 @@ def board_rows(boards: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.hash("board_id"), F.lit(salts))).join(per_job, ["job_id", "salt"], "left").drop("salt")
 
 
-def fit_lines(rows: DataFrame, limit: int = SAMPLE_BOARDS) -> Lines:
-    """Fits the line classifiers on ``limit`` boards, the first by a hash of their id."""
-    sample = rows.orderBy(F.xxhash64("board_id"), "board_id").limit(limit).select("lines", "shares").collect()
-    return Lines([(r.lines, _shares(r.shares)) for r in sample])
+EXAMPLES = "what string, x array<double>, y double, a string, b string, ab string, n long"
+
+
+def _examples(batches):
+    """EXAMPLES of boards (lines, shares), counted: ``line`` with its label, ``pair`` of lines with the
+    pieces of what can be a cut word, and ``word`` of a line's inside."""
+    for batch in batches:
+        out = Counter()
+        for lines, shares in zip(*(c.to_pylist() for c in batch.columns)):
+            shares, border = _shares(shares), set(edges(len(lines)))
+            for k, t in enumerate(lines):
+                for w in _inner_words(t):
+                    out["word", None, None, w, None, None] += 1
+                if page_number(t):
+                    continue
+                share, count = shares.get(line_key(t), (0.0, 1)) if shares else (0.0, 1)
+                # what repeats at the edges is furniture, what stands inside is not; the rest has no label
+                inside = k not in border
+                # two sentences that end alike can repeat by chance in a small job
+                chance = count <= 2 and t.rstrip()[-1:] in "。！？.!?"
+                if inside or share >= 0.3 or share < 0.02 or chance:
+                    out["line", tuple(line_features(lines, k, shares)), float(not inside and share >= 0.3 and not chance), None, None, None] += 1
+                if k + 1 < len(lines):
+                    x = tuple(pair_features(t, lines[k + 1]))
+                    a, b = (_last_piece(t), _first_piece(lines[k + 1])) if x[0] > 0 else ("", "")
+                    out["pair", x, None, *((a.lower(), b.lower(), (a + b).lower()) if a and b else (None, None, None))] += 1
+        cols = list(zip(*((*key, n) for key, n in out.items()))) or [[]] * 7
+        types = [pa.string(), pa.list_(pa.float64()), pa.float64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["what", "x", "y", "a", "b", "ab", "n"])
+
+
+def _cuts(x: DataFrame, width: int, by: str | None = None) -> dict[str | None, list[np.ndarray]]:
+    """Where Boosted cuts each of the columns x[0] to x[width - 1] of rows that stand ``n`` times, by all rows."""
+    shares = ", ".join(repr(float(s)) for s in Boosted().shares())
+    rows = x.groupBy(*([by] if by else [])).agg(*[F.expr(f"percentile(x[{k}], array({shares}), n)").alias(f"x{k}") for k in range(width)]).collect()
+    return {r[by] if by else None: [np.unique(np.array(r[f"x{k}"] or [], float)) for k in range(width)] for r in rows}
+
+
+def _fit_cells(x: DataFrame, width: int, rounds: int = 30) -> Boosted:
+    """A model of all rows (x, y, n), from their numbers in the cells between cuts: at most some
+    hundred thousand cells of furniture and 128 of pairs, however many the rows are."""
+    cuts = _cuts(x, width)[None]
+    code = [F.expr(f"size(filter(array({', '.join(f'double({float(c)!r})' for c in own)}), c -> c < x[{k}]))") if len(own) else F.lit(0) for k, own in enumerate(cuts)]
+    cells = x.groupBy(F.array(*code).alias("code"), "y").agg(F.sum("n").alias("n")).collect()
+    cells = sorted((tuple(r.code), r.y, r.n) for r in cells)
+    return Boosted(rounds).fit_cells(np.array([c for c, _, _ in cells], float).reshape(-1, width), np.array([y for _, y, _ in cells]), np.array([n for _, _, n in cells], float), cuts)
+
+
+def fit_lines(rows: DataFrame) -> Lines:
+    """Fits the line classifiers on all boards (lines, shares)."""
+    seen = cut(rows.select("lines", "shares").mapInArrow(_examples, EXAMPLES).groupBy("what", "x", "y", "a", "b", "ab").agg(F.sum("n").alias("n")))
+    words, pairs = seen.where("what = 'word'"), seen.where("what = 'pair'")
+    told = pairs.where("ab is not null")
+    for k in ("ab", "a", "b"):
+        told = told.join(words.select(F.col("a").alias(k), F.col("n").alias(f"{k}_n")), k, "left")
+    # cut words are known whole from the insides of other lines
+    told = told.select("x", F.expr("double(coalesce(ab_n, 0) > greatest(coalesce(a_n, 0), coalesce(b_n, 0)) / 4)").alias("y"), "n")
+    told = cut(told.unionByName(pairs.where("ab is null").select("x", F.lit(0.0).alias("y"), "n")).groupBy("x", "y").agg(F.sum("n").alias("n")))
+    return Lines(_fit_cells(seen.where("what = 'line'"), 8), _fit_cells(told, 6))
 
 
 def _batch(board, first, last, split, kind, tok, conf) -> pa.RecordBatch:
@@ -297,23 +329,47 @@ def changes(a: str, b: str) -> list[tuple[str, str]]:
     return [(a[i:j], b[k:m]) for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, False).get_opcodes() if op != "equal"]
 
 
-class Labels:
-    """What the corrected lines of the sample say: pairs of characters, words and windows that were mended, and what was left."""
+TOLD = "what string, kind string, tok string, cand string, n long"
+
 
-    def __init__(self, lines: list[tuple[str, str]]):
-        self.pairs: Counter = Counter()
-        self.good: Counter = Counter()
-        self.seen: set[tuple[str, str]] = set()
-        for a, b in lines:
-            for op in changes(a.lower(), b.lower()):
-                if len(op[0]) <= 2 and len(op[1]) <= 2 and op[0] and op[1]:
-                    self.pairs[op] += 1
-            old, new = ([(kind, str(t)) for kind, own in units([([t], [None], [False])]).items() for t in own[4]] for t in (a, b))
-            if len(old) == len(new):
-                for (kind, x), (_, y) in zip(old, new):
-                    self.seen.add((kind, x))
-                    if x != y and (kind == "w" or x[1] != y[1]):
-                        self.good[kind, x, y if kind == "w" else y[1]] += 1
+def labels(lines: DataFrame) -> DataFrame:
+    """TOLD, counted: what all corrected lines (lines, fixed) say.
+
+    what ``pair``: characters ``tok`` that stand for ``cand``; ``good``: a word
+    or window that was mended; ``seen``: one that a corrected line holds.
+    """
+
+    def run(batches):
+        for batch in batches:
+            old, new = (c.to_pylist() for c in batch.columns)
+            out = Counter()
+            for a, b in zip(old, new):
+                for op in changes(a.lower(), b.lower()):
+                    if len(op[0]) <= 2 and len(op[1]) <= 2 and op[0] and op[1]:
+                        out["pair", None, *op] += 1
+            tokens = []
+            for texts in (old, new):
+                own: list[list[tuple[str, str]]] = [[] for _ in texts]
+                for kind, (at, *_, toks) in units([([t], [None], [False]) for t in texts]).items():
+                    for k, t in zip(at.tolist(), toks):
+                        own[k].append((kind, str(t)))
+                tokens.append(own)
+            for a, b in zip(*tokens):
+                if len(a) == len(b):
+                    for (kind, x), (_, y) in zip(a, b):
+                        out["seen", kind, x, None] += 1
+                        if x != y and (kind == "w" or x[1] != y[1]):
+                            out["good", kind, x, y if kind == "w" else y[1]] += 1
+            cols = list(zip(*((*key, n) for key, n in out.items()))) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), pa.array(cols[4], pa.int64())], ["what", "kind", "tok", "cand", "n"])
+
+    return cut(lines.distinct().select("lines", "fixed").mapInArrow(run, TOLD).groupBy("what", "kind", "tok", "cand").agg(F.sum("n").alias("n")))
+
+
+def word_pairs(told: DataFrame) -> Counter:
+    """The pairs that can stand in words: at most a million, as these have 38 characters and their candidates 26, however large the corpus."""
+    found = told.where("what = 'pair' and tok rlike '^[a-z0-9!\\']{1,2}$' and cand rlike '^[a-z]{1,2}$'").select("tok", "cand", "n").toArrow()
+    return Counter(dict(zip(zip(found.column(0).to_pylist(), found.column(1).to_pylist()), found.column(2).to_pylist())))
 
 
 def pair_weight(a: str, b: str, pairs: Counter, less: int = 0) -> float:
@@ -330,7 +386,7 @@ def pair_weight(a: str, b: str, pairs: Counter, less: int = 0) -> float:
     return math.log1p(max(0, min(weights) - less)) if weights else 0.0
 
 
-NAMES = ["kind", "tok", "cand", "n", "m", "conf", "left_n", "left_m", "right_n", "right_m", "mid_n", "mid_m", "alike", "edits", "share"]
+NAMES = ["kind", "tok", "cand", "n", "m", "conf", "left_n", "left_m", "right_n", "right_m", "mid_n", "mid_m", "alike", "edits", "share", "known"]
 FEATURES = ["n", "m", "ratio", "known", "alike", "size", "strange", "left", "right", "side", "both", "mid", "conf", "edits", "share"]
 
 
@@ -381,7 +437,7 @@ def alike_pairs(words: DataFrame) -> Counter:
     return Counter({(r.x, r.y): r.n for r in found.collect()})
 
 
-def candidates(tokens: DataFrame, known: Counter) -> tuple[DataFrame, Counter]:
+def candidates(tokens: DataFrame, told: DataFrame) -> tuple[DataFrame, Counter]:
     """(NAMES): replacements that q-gram joins retrieve, from counts over all boards; and :func:`alike_pairs` of the words.
 
     Words: see :func:`word_candidates`. Windows: those with the same left and
@@ -390,13 +446,14 @@ def candidates(tokens: DataFrame, known: Counter) -> tuple[DataFrame, Counter]:
     product. Windows of which no other of their neighbours' is that much more
     frequent are left out before. ``alike``: how many windows the change of the
     character explains where both pairs of neighbours are four times as frequent.
-    Where it explains two, or is one of the ``known``, it is tried in every
-    window, also where the whole new one never occurs.
+    Where it explains two, or corrected lines hold it (``known`` times, see
+    :func:`labels`), it is tried in every window, also where the whole new one
+    never occurs.
     """
     counts = cut(tokens.where("tok is not null").groupBy("kind", "tok").agg(F.count(F.lit(1)).alias("n"), F.avg("conf").alias("conf")))
     words = cut(word_candidates(counts.where("kind = 'w' and length(tok) between 2 and 40")))
     zero = F.lit(0).cast("long")
-    of_words = words.select(F.lit("w").alias("kind"), F.col("w").alias("tok"), F.col("c").alias("cand"), F.col("w_n").alias("n"), F.col("c_n").alias("m"), "conf", *[zero.alias(k) for k in NAMES[6:-2]], "edits", zero.alias("share"))
+    of_words = words.select(F.lit("w").alias("kind"), F.col("w").alias("tok"), F.col("c").alias("cand"), F.col("w_n").alias("n"), F.col("c_n").alias("m"), "conf", *[zero.alias(k) for k in NAMES[6:-3]], "edits", zero.alias("share"), zero.alias("known"))
 
     z = counts.where("kind = 'z'").select(F.substring("tok", 1, 1).alias("l"), F.substring("tok", 2, 1).alias("c"), F.substring("tok", 3, 1).alias("r"), "n", "conf")
     for keys, name in ((["l", "c"], "left"), (["c", "r"], "right"), (["c"], "mid")):
@@ -411,11 +468,10 @@ def candidates(tokens: DataFrame, known: Counter) -> tuple[DataFrame, Counter]:
     near = own.join(other, ["l", "r"]).where("m >= 3 * n and new >= 10 * both and c <> cand")
     near = cut(near.select("l", "c", "r", "cand", "n", "m", "conf", F.col("left").alias("left_n"), "left_m", F.col("right").alias("right_n"), "right_m", F.col("mid").alias("mid_n"), "mid_m"))
     alike = near.groupBy("c", "cand").agg(F.count_if(F.expr("left_m >= 4 * left_n and right_m >= 4 * right_n")).alias("alike"))
-    listed = [(x, y) for x, y in known if len(x) == 1 and len(y) == 1 and han(x) and han(y)]  # from the bounded sample
-    listed = tokens.sparkSession.createDataFrame(listed or [("", "")], "c string, cand string")
+    listed = told.where("what = 'pair' and tok rlike '^[\u3400-\u9fff]$' and cand rlike '^[\u3400-\u9fff]$'").select(F.col("tok").alias("c"), "cand", F.col("n").alias("known"))
     # thousandths of the character's windows that the change explains: high for what is hardly ever right
     alike = cut(alike.join(z.groupBy("c").agg(F.max("windows").alias("windows")), "c").select("c", "cand", "alike", F.expr("alike * 1000 div windows").alias("share")))
-    tried = alike.where("alike >= 2").select("c", "cand", F.lit(0).alias("told")).unionByName(listed.withColumn("told", F.lit(1))).groupBy("c", "cand").agg(F.max("told").alias("told")).join(alike.select("c", "cand", "share"), ["c", "cand"], "left")
+    tried = alike.where("alike >= 2").select("c", "cand", F.lit(0).alias("told")).unionByName(listed.select("c", "cand", F.lit(1).alias("told"))).groupBy("c", "cand").agg(F.max("told").alias("told")).join(alike.select("c", "cand", "share"), ["c", "cand"], "left")
     new = z.select("l", F.col("c").alias("cand"), "r", F.col("n").alias("m"))
     wide = z.join(tried, "c").join(new, ["l", "cand", "r"], "left")
     for keys, name in ((["l", "c"], "left"), (["c", "r"], "right"), (["c"], "mid")):
@@ -424,20 +480,23 @@ def candidates(tokens: DataFrame, known: Counter) -> tuple[DataFrame, Counter]:
     wide = wide.where("(coalesce(left_m, 0) + 1) * (coalesce(right_m, 0) + 1) >= if(share >= 300 or told = 1, 1, 10) * both")
     wide = wide.select("l", "c", "r", "cand", "n", F.coalesce("m", zero).alias("m"), "conf", F.col("left").alias("left_n"), F.coalesce("left_m", zero).alias("left_m"), F.col("right").alias("right_n"), F.coalesce("right_m", zero).alias("right_m"), F.col("mid").alias("mid_n"), F.coalesce("mid_m", zero).alias("mid_m"))
     all_ = near.unionByName(wide).dropDuplicates(["l", "c", "r", "cand"])
-    of_windows = all_.join(alike, ["c", "cand"], "left").select(F.lit("z").alias("kind"), F.concat("l", "c", "r").alias("tok"), *NAMES[2:-3], F.coalesce("alike", zero).alias("alike"), F.lit(1).cast("long").alias("edits"), F.coalesce("share", zero).alias("share"))
+    of_windows = all_.join(alike, ["c", "cand"], "left").join(listed, ["c", "cand"], "left")
+    of_windows = of_windows.select(F.lit("z").alias("kind"), F.concat("l", "c", "r").alias("tok"), *NAMES[2:-4], F.coalesce("alike", zero).alias("alike"), F.lit(1).cast("long").alias("edits"), F.coalesce("share", zero).alias("share"), F.coalesce("known", zero).alias("known"))
     return of_words.unionByName(of_windows), alike_pairs(words)
 
 
-def _features(batch: pa.RecordBatch, pairs: Counter, alike: Counter, good: Counter | None = None) -> np.ndarray:
-    """FEATURES of each candidate. With ``good``, of the sample itself: what a candidate adds to the known pairs is taken off."""
+def _features(batch: pa.RecordBatch, pairs: Counter, alike: Counter) -> np.ndarray:
+    """FEATURES of each candidate, in whole thousandths, so that a column has some ten thousand values.
+    A column ``less`` says how often a candidate itself is among the known pairs: that is taken off."""
     col = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
+    less = col.get("less") or [0] * batch.num_rows
     out = []
-    for kind, tok, cand, n, m, conf, ln, lm, rn, rm, mid_n, mid_m, like, edits, share in zip(*(col[k] for k in NAMES)):
+    for kind, tok, cand, n, m, conf, ln, lm, rn, rm, mid_n, mid_m, like, edits, share, told, off in zip(*(col[k] for k in NAMES), less):
         own = tok if kind == "w" else tok[1]
         left, right = math.log((lm + 1) / (ln + 1)), math.log((rm + 1) / (rn + 1))
-        known = pair_weight(own, cand, pairs, good[kind, tok, cand] if good else 0)
+        known = pair_weight(own, cand, pairs, off) if kind == "w" else math.log1p(max(0, told - off))
         out.append([math.log1p(n), math.log1p(m), math.log((m + 0.5) / (n + 0.5)), known, pair_weight(own, cand, alike) if kind == "w" else math.log1p(like), len(own), float(kind == "w" and not tok.isalpha()), left, right, min(left, right), left + right, math.log((mid_m + 1) / (mid_n + 1)), 0.7 if conf is None else conf, edits, share / 1000])
-    return np.array(out, float).reshape(-1, len(FEATURES))
+    return np.rint(np.array(out, float).reshape(-1, len(FEATURES)) * 1000)
 
 
 #: What a ranking knows before it sees a label: (n, m, known, alike, size, strange, left, right, edits, share) and whether it is right.
@@ -452,30 +511,54 @@ PRIOR = {
 
 def _prior(kind: str) -> tuple[np.ndarray, np.ndarray]:
     rows = [[math.log1p(n), math.log1p(m), math.log((m + 0.5) / (n + 0.5)), known, math.log1p(alike), size, strange, left, right, min(left, right), left + right, 1.0, 0.7, edits, share] for (n, m, known, alike, size, strange, left, right, edits, share), _ in PRIOR[kind]]
-    return np.array(rows, float), np.array([y for _, y in PRIOR[kind]], float)
-
+    return np.rint(np.array(rows, float) * 1000), np.array([y for _, y in PRIOR[kind]], float)
 
-def choose(cands: DataFrame, labels: Labels, alike: Counter, sample: int = SAMPLE_CANDIDATES) -> DataFrame:
-    """(kind, tok, cand): the chosen replacement of each word or window that has one.
 
-    The ranking is fitted on candidates of what the sample's corrected lines
-    hold: mended as they say it is right, anything else is wrong. Of both the
-    tokens and their candidates at most ``sample`` are taken, the first by a
-    hash. A few made-up rows steady a small sample (``PRIOR``).
-    """
+def fit_ranking(cands: DataFrame, told: DataFrame, pairs: Counter, alike: Counter) -> dict[str, Boosted]:
+    """A ranking for each kind, from all candidates of what the corrected lines hold: mended as they
+    say it is right, anything else is wrong. A few made-up rows steady small tables (``PRIOR``)."""
     spark = cands.sparkSession
-    seen = sorted(labels.seen, key=lambda x: (zlib.crc32("".join(x).encode("utf-8", "replace")), x))[:sample]
-    seen = spark.createDataFrame(seen or [("", "")], "kind string, tok string")
-    rows = cands.join(F.broadcast(seen), ["kind", "tok"]).orderBy(F.xxhash64("kind", "tok", "cand")).limit(sample).collect()
-    types = {"kind": pa.string(), "tok": pa.string(), "cand": pa.string(), "conf": pa.float64()}
-    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types.get(k, pa.int64())) for k in NAMES], NAMES)
-    x, models = _features(batch, labels.pairs, alike, labels.good), {}
-    y = np.array([(r.kind, r.tok, r.cand) in labels.good for r in rows], float)
-    for kind in PRIOR:
-        of = np.array([r.kind == kind for r in rows], bool)
-        px, py = _prior(kind)
-        models[kind] = Boosted().fit(np.concatenate([x[of], np.repeat(px, 3, 0)]), np.concatenate([y[of], np.repeat(py, 3)]))
-    shared = spark.sparkContext.broadcast((models, labels.pairs, alike))
+    seen = told.where("what = 'seen'").select("kind", "tok")
+    good = told.where("what = 'good'").select("kind", "tok", "cand", F.col("n").alias("less"))
+    own = cands.join(seen, ["kind", "tok"], "left_semi").join(good, ["kind", "tok", "cand"], "left").select(*NAMES, F.coalesce("less", F.lit(0).cast("long")).alias("less"))
+    shared = spark.sparkContext.broadcast((pairs, alike))
+
+    def features(batches):
+        for batch in batches:
+            x = _features(batch, *shared.value)
+            y = np.array(batch.column(len(NAMES)).to_pylist(), float).reshape(-1) > 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x.astype(np.int32)), pa.list_(pa.int32())), pa.array(y.astype(np.int32)), pa.array(np.ones(len(x), np.int64))], ["kind", "x", "y", "n"])
+
+    schema = "kind string, x array<int>, y int, n long"
+    made_up = spark.createDataFrame([(kind, [int(v) for v in x], int(y), 1) for kind in PRIOR for x, y in zip(*_prior(kind)) for _ in range(3)], schema)
+    rows = cut(own.mapInArrow(features, schema).unionByName(made_up))
+    totals = {r.kind: (r.n, r.ones) for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")).collect()}
+    cuts = _cuts(rows, len(FEATURES), "kind")
+
+    def codes(batches):
+        for batch in batches:
+            kinds, y = np.array(batch.column(0).to_pylist(), object), np.array(batch.column(2), np.uint8)
+            x = np.array(batch.column(1).flatten(), float).reshape(-1, len(FEATURES))
+            out = []
+            for kind, own in cuts.items():
+                of = kinds == kind
+                if of.any():
+                    code = np.stack([np.searchsorted(c, x[of, k], "left") for k, c in enumerate(own)], 1).astype(np.uint8)
+                    out.append((kind, code.tobytes(), y[of].tobytes()))
+            cols = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["kind", "codes", "y"])
+
+    parts = max(1, -(-sum(n for n, _ in totals.values()) // FIT_ROWS))
+    blocks = cut(rows.coalesce(parts).mapInArrow(codes, "kind string, codes binary, y binary")).rdd
+    blocks = blocks.map(lambda r: (r[0], np.frombuffer(bytes(r[1]), np.uint8).reshape(-1, len(FEATURES)), np.frombuffer(bytes(r[2]), np.uint8).astype(float)))
+    return fit_blocks(blocks, cuts, totals)
+
+
+def choose(cands: DataFrame, told: DataFrame, alike: Counter) -> DataFrame:
+    """(kind, tok, cand): the chosen replacement of each word or window that has one; see :func:`fit_ranking`."""
+    cands, pairs = cut(cands), word_pairs(told)
+    models = fit_ranking(cands, told, pairs, alike)
+    shared = cands.sparkSession.sparkContext.broadcast((models, pairs, alike))
 
     def run(batches):
         fitted, pairs, like = shared.value
@@ -501,16 +584,14 @@ def first_change(tok: str, cand: str) -> int:
     return k
 
 
-def corrections(boards: DataFrame, sample_lines: int = SAMPLE_LINES, sample_boards: int = SAMPLE_BOARDS, sample_candidates: int = SAMPLE_CANDIDATES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def corrections(boards: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows of boards, line kinds, misread tokens with their line); see :func:`board_lines`."""
     rows = cut(board_rows(boards))
     lines = rows.select(F.explode(F.arrays_zip("lines", "fixed")).alias("x")).select("x.lines", "x.fixed").where("fixed is not null and fixed <> lines")
-    # corrected lines: a bounded sample, the first by hash
-    sample = lines.distinct().orderBy(F.xxhash64("lines", "fixed"), "lines").limit(sample_lines).collect()
-    labels = Labels([(r.lines, r.fixed) for r in sample])
-    found = stored(read_boards(rows, fit_lines(rows, sample_boards)), "boards")
-    cands, alike = candidates(found, labels.pairs)
-    chosen = choose(cands, labels, alike, sample_candidates)
+    told = labels(lines)
+    found = stored(read_boards(rows, fit_lines(rows)), "boards")
+    cands, alike = candidates(found, told)
+    chosen = choose(cands, told, alike)
     hits = found.where("tok is not null").join(chosen, ["kind", "tok"])
     # the line of a cut word's misread character: where the first change lies
     at = F.aggregate(
@@ -520,7 +601,7 @@ def corrections(boards: DataFrame, sample_lines: int = SAMPLE_LINES, sample_boar
     return rows, found.where("tok is null").select("board_id", "line_no", "kind"), hits.select("board_id", F.col("line").alias("line_no"), "kind", "tok", "cand")
 
 
-def board_lines(boards: DataFrame, **sizes: int) -> DataFrame:
+def board_lines(boards: DataFrame) -> DataFrame:
     """(board_id, line_no, kind): what is wrong with which line.
 
     kind ``header``: a running header or footer; ``page_number``: a line that is
@@ -528,19 +609,18 @@ def board_lines(boards: DataFrame, **sizes: int) -> DataFrame:
     ``misread``: a line of the body with a wrongly read character. A line can
     have two kinds. Boards that come twice with one board_id count once; null
     texts of lines are empty ones; null or empty text_lines give no row; boards
-    without job_id form a job of their own. The classifiers and the ranking are
-    fitted on bounded samples (``sample_boards``, ``sample_lines``, ``sample_candidates``); counts,
-    candidates and windows cover all boards.
+    without job_id form a job of their own. Classifiers, labels, ranking, counts
+    and candidates cover all boards.
     """
-    _, lines, hits = corrections(boards, **sizes)
+    _, lines, hits = corrections(boards)
     return lines.unionByName(hits.select("board_id", "line_no", F.lit("misread").alias("kind"))).distinct()
 
 
-def board_text(boards: DataFrame, **sizes: int) -> DataFrame:
+def board_text(boards: DataFrame) -> DataFrame:
     """(board_id, text): each board's body as continuous text, corrected, without furniture.
 
     Cut words are joined, Chinese lines without a space; lines that are numbers or formulas stand alone."""
-    rows, lines, hits = corrections(boards, **sizes)
+    rows, lines, hits = corrections(boards)
     kinds = lines.groupBy("board_id").agg(F.collect_list(F.struct("line_no", "kind")).alias("kinds"))
     fixes = hits.groupBy("board_id").agg(F.collect_set(F.struct("line_no", "kind", "tok", "cand")).alias("fixes"))
     whole = rows.select("board_id", "lines").join(kinds, "board_id", "left").join(fixes, "board_id", "left")
