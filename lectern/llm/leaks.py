@@ -148,19 +148,20 @@ def word_stream(codes: np.ndarray, bounds: np.ndarray, names: Members) -> Stream
 
 
 def char_stream(codes: np.ndarray, bounds: np.ndarray) -> Stream:
-    """Chinese view: letters and digits as units; a place name is two characters and a last one of PLACE_ZH."""
+    """Chinese view: letters and digits as units; a place name is two characters and a last one of PLACE_ZH, all of one text."""
     at = np.flatnonzero(class_table()[codes] <= NUMBER)
     own = codes[at]
     number, place, unit = zh_tables()
     kind = np.where(number[own], 1, np.where(unit[own], 3, 0))
     last = np.flatnonzero(place[own])
     han = (own >= 0x4E00) & (own < 0xA000) & ~number[own]
-    last = last[last >= 2]
+    edges = np.searchsorted(at, bounds)
+    last = last[last - edges[np.searchsorted(edges, last, "right") - 1] >= 2]
     last = last[han[last - 1] & han[last - 2]]
     for d in (0, 1, 2):
         kind[last - d] = 2
     raw = span_hashes(codes, at, at + 1, 3)
-    return Stream(raw, np.searchsorted(at, bounds), kind, at)
+    return Stream(raw, edges, kind, at)
 
 
 class Members:
@@ -283,7 +284,8 @@ class View:
         order = np.lexsort((own, own - other, item))
         own, other, item = own[order], other[order], item[order]
         fresh = np.ones(len(own), bool)
-        fresh[1:] = (item[1:] != item[:-1]) | (own[1:] != own[:-1] + 1) | (other[1:] != other[:-1] + 1)
+        text = np.searchsorted(s.short_bounds, own, "right")
+        fresh[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (own[1:] != own[:-1] + 1) | (other[1:] != other[:-1] + 1)
         begin = np.flatnonzero(fresh)
         end = np.append(begin[1:], len(own)) - 1
         units = lambda st, x, y: np.append(st.unit, len(st.raw))[y] - st.unit[x]
@@ -307,8 +309,8 @@ def consistent(own: list[bytes], other: list[bytes]) -> bool:
     return len(own) == len(other) and len(set(zip(own, other))) == len(set(own)) == len(set(other))
 
 
-def _name_words(texts: list[str], names: list[str]) -> Members:
-    """Words of the given names, and words that the items write in capitals inside sentences and never otherwise."""
+def _forms(texts: list[str]) -> tuple[set[str], set[str]]:
+    """Words that the texts write in capitals inside sentences, and words that they write in small letters."""
     import regex
 
     upper, lower = set(), set()
@@ -320,9 +322,37 @@ def _name_words(texts: list[str], names: list[str]) -> Members:
                 lower.add(w.casefold())
             elif w[:1].isupper() and before and before[-1] not in ".?!…:;":
                 upper.add(w.casefold())
-    own = [w for n in names for w in regex.findall(r"[\p{L}\p{N}]+", n.casefold())]
-    words = sorted((upper - lower) | set(own))
-    return word_hashes(words)
+    return upper, lower
+
+
+def _given(names: list[str]) -> set[str]:
+    import regex
+
+    return {w for n in names for w in regex.findall(r"[\p{L}\p{N}]+", n.casefold())}
+
+
+def _name_words(texts: list[str], names: list[str]) -> Members:
+    """Words of the given names, and words that the items write in capitals inside sentences and never otherwise."""
+    upper, lower = _forms(texts)
+    return word_hashes(sorted((upper - lower) | _given(names)))
+
+
+def _all_name_words(items: DataFrame, names: list[str]) -> Members:
+    """:func:`_name_words` of items (text, lang) of any number; only the words' hashes come to the driver."""
+
+    def forms(batches):
+        for batch in batches:
+            upper, lower = _forms([t for t in batch.column(0).to_pylist() if t])
+            words = sorted(upper | lower)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([w in lower for w in words], pa.bool_())], ["word", "small"])
+
+    def hashes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(batch.column(0).to_pylist()).sorted.view(np.int64))], ["word"])
+
+    words = items.where("lang <> 'zh'").select("text").mapInArrow(forms, "word string, small boolean").groupBy("word").agg(F.bool_or("small").alias("small"))
+    found = words.where("not small").select("word").mapInArrow(hashes, "word long").toArrow().column(0)
+    return Members(np.concatenate([np.array(found, np.int64).view(np.uint64), word_hashes(sorted(_given(names))).sorted]))
 
 
 def streams(codes: np.ndarray, bounds: np.ndarray, names: Members) -> list[Stream]:
@@ -359,13 +389,14 @@ def leaks(docs: DataFrame, items: DataFrame, names: list[str] = (), words: int =
     broadcast, and documents aren't shuffled. With more items the windows of
     both sides are joined by hash: a filter over the items' windows, of bounded
     size, leaves out documents' windows that no item can have, and the rest is
-    shuffled; the documents are read once, however many items there are. Names
-    then are ``names`` alone. A very long text is read in parts that share
+    shuffled; the documents are read once, however many items there are. The
+    rows are the same either way. A very long text is read in parts that share
     ``OVERLAP`` units. Null and empty texts give no row; items shorter than a
-    passage neither. Repeated documents each come out.
+    passage neither. A row comes once, however often documents and items do;
+    where an id has several texts, each of them counts.
     """
     spark = docs.sparkSession
-    items = items.select("item_id", F.coalesce("lang", F.when(F.col("text").rlike(r"\p{IsHan}"), "zh").otherwise("en")).alias("lang"), "text").where("item_id is not null and text is not null").dropDuplicates(["item_id"])
+    items = items.select("item_id", F.coalesce("lang", F.when(F.col("text").rlike(r"\p{IsHan}"), "zh").otherwise("en")).alias("lang"), "text").where("item_id is not null and text is not null").distinct()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     if n > index_items or size > index_chars:
@@ -373,7 +404,7 @@ def leaks(docs: DataFrame, items: DataFrame, names: list[str] = (), words: int =
     rows = [tuple(r) for r in items.collect()]  # bounded: checked just now
     known = _name_words([t for _, own, t in rows if own != "zh"], list(names))
     shared = spark.sparkContext.broadcast((build_index(rows, known, words, chars), known))
-    return docs.mapInArrow(functools.partial(_search, index=shared, both=reparameterised), FOUND)
+    return docs.mapInArrow(functools.partial(_search, index=shared, both=reparameterised), FOUND).distinct()
 
 
 def _parts(s: Stream, codes: np.ndarray) -> list[tuple[int, int]]:
@@ -459,7 +490,7 @@ def _windows(batches, names, words, chars, both, bits, lang):
 def _joined(docs: DataFrame, items: DataFrame, names: list[str], words: int, chars: int, both: bool, size: int) -> DataFrame:
     """:func:`leaks` for items of any number, by a join of window hashes; see there."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(_name_words([], names))
+    known = spark.sparkContext.broadcast(_all_name_words(items, names))
     find = functools.partial(_windows, names=known, words=words, chars=chars, both=both)
     own = cut(items.select(F.col("item_id").cast("long"), "text", "lang").mapInArrow(functools.partial(find, bits=None, lang=True), WINDOWS))
     bits = min(FILTER_BITS, 1 << max(16, int(np.ceil(np.log2(16 * max(1, size))))))
@@ -481,17 +512,20 @@ def _joined(docs: DataFrame, items: DataFrame, names: list[str], words: int, cha
         return pairs
     pairs = cut(pairs)
     # a shared template window only makes a candidate: its slots and length are checked on the two texts
-    maybe = pairs.where("how = 'reparameterised'").join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").join(items.select("item_id", "lang", F.col("text").alias("item")), "item_id")
+    maybe = pairs.where("how = 'reparameterised'").join(docs.where("text <> ''"), "doc_id").join(items.select("item_id", "lang", F.col("text").alias("item")), "item_id")
 
     def verify(batches):
         for batch in batches:
-            out = []
-            for doc, text, item, lang, item_text in zip(*(c.to_pylist() for c in batch.columns)):
-                views = build_index([(item, lang, item_text)], known.value, words, chars)
-                if any(s is not None and v.stream is not None and v.reparameterised(s) for _, own in _views([text], known.value) for v, s in zip(views, own)):
-                    out.append((doc, item, "reparameterised"))
-            cols = list(zip(*out)) or [[], [], []]
+            docs_, texts, *own_items = (c.to_pylist() for c in batch.columns)
+            rows, found = sorted(set(zip(docs_, texts))), set()
+            # a batch's texts and items at once: what a pair gives doesn't depend on the others
+            views = build_index(sorted(set(zip(*own_items))), known.value, words, chars)
+            for first, own in _views([t for _, t in rows], known.value):
+                for view, s in zip(views, own):
+                    if s is not None and view.stream is not None:
+                        found.update((rows[first + x][0], int(view.items[y]), "reparameterised") for x, y in view.reparameterised(s))
+            cols = list(zip(*sorted(found))) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["doc_id", "item_id", "how"])
 
     checked = maybe.select("doc_id", "text", F.col("item_id").cast("long"), "lang", "item").mapInArrow(verify, FOUND)
-    return pairs.where("how = 'verbatim'").unionByName(checked)
+    return pairs.where("how = 'verbatim'").unionByName(checked.distinct())
